@@ -19,12 +19,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 READ = "translate(md5(concat_ws('|', l_orderkey, l_linenumber)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a table in fewer files than there are cores, dealt over all of them before they expand to windows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("seq"))
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_linenumber", F.expr(READ).alias("seq"))
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    return dealt(df).select("l_linenumber", F.expr(READ).alias("seq"))
 
 
 def _forward_counts(df: DataFrame, k: int) -> DataFrame:

@@ -1,0 +1,61 @@
+from pyspark.sql import functions as F
+
+from helixframe.llm import exact_dedup as x
+from tests.oracle import same
+
+SCHEMA = "doc_id long, text string, kept string, row int"
+LONG = "Wörter und Sätze. " * 3000
+
+
+def brute(rows):
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(r[1] or "", []).append((-1 if r[0] is None else r[0], i))
+    return {g: (max(v)[0], len(v)) for g, v in groups.items()}
+
+
+def rows():
+    return [(1, "a", "x", 1), (5, "a", "x", 1), (5, "a", "x", 1), (2, None, None, None), (3, "", "", 2), (None, "n", "", 3), (None, "n", "", 3), (7, LONG, "", 4), (8, LONG + "!", "", 4), (9, LONG, "", 4), (10, "A", "", 0), (11, "a ", "", 0)]
+
+
+def test_groups(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    want = brute(rows())
+    got = x.exact_groups(df).collect()
+    assert len(got) == len(rows())
+    sizes = sorted((r.doc_id or -1, -1 if r.keep_id is None else r.keep_id, r.group_size) for r in got)
+    assert sizes == sorted((r[0] or -1, *want[r[1] or ""]) for r in rows())
+    assert sum(r.kept for r in got) == len(want)
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    assert {r.text_bytes for r in got} >= {0, len(LONG.encode())}
+
+
+def test_collisions(spark):
+    """With an identifier that is the same for many chunks, texts still decide."""
+    bad = lambda c: F.struct((F.octet_length(c) % 2).alias("hash"), F.lit(1).alias("bytes"))
+    df = spark.createDataFrame(rows() + [(20 + i, f"text {i % 3}", "", 0) for i in range(9)], SCHEMA)
+    plain = {(r.doc_id, r.keep_id, r.group_size) for r in x.exact_groups(df).collect()}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in x.exact_groups(df, _identifier=bad).collect()} == plain
+
+
+def test_kept_rows(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    got = x.kept_rows(df)
+    assert got.columns == df.columns
+    assert sorted((r.text or "", r.doc_id or -1) for r in got.collect()) == sorted((t, max((r[0] or -1) for r in rows() if (r[1] or "") == t)) for t in brute(rows()))
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert x.exact_groups(df).count() == 0
+    assert x.kept_rows(df).count() == 0
+
+
+def test_chunks_are_the_text(spark):
+    for t in ["", "x", LONG, "y" * 20000, "a.\n" * 5000, "ö" * 770 + ". end"]:
+        got = spark.range(1).select(x.chunks(F.lit(t)).alias("c")).first().c
+        assert "".join(got) == t and all(got)
+
+
+def test_sql(spark):
+    same(spark, "op6", x.op6, x.OP6_SQL)

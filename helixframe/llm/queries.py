@@ -1,11 +1,14 @@
 """The operators' named queries over the test tables, with SQL where it can say the same."""
 
-from helixframe.llm import exact_dedup, pii
+from helixframe.llm import exact_dedup, packing, pii, warc
 
 QUERIES = {
     "op1_pii": pii.op1,
+    "op2_warc": warc.op2,
     "op6_exact_dedup": exact_dedup.op6,
+    "op8_packing": packing.op8,
 }
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }

@@ -66,3 +66,21 @@ def base_of(spans: Column) -> Column:
 
 def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+
+
+def keep_only(df: DataFrame, rows: DataFrame, group: str, best, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df, with all its columns, cut to one row of each group.
+
+    rows is a written table with a row per row of df: doc_id, sha (the SHA-256 of its text, null as empty) and the
+    group; best is F.min or F.max of (doc_id, sha). Of rows that repeat both, one stays; only such rows are grouped with
+    their texts.
+    """
+    stays = rows.groupBy(group).agg(best(F.struct("doc_id", "sha")).alias("_best")).select(F.col("_best.doc_id").alias("_kid"), F.col("_best.sha").alias("_ksha"), F.col(group).alias("_kgroup"))
+    times = rows.groupBy("doc_id", "sha", group).agg(F.count(F.lit(1)).alias("_times"))
+    held = times.join(stays, F.col("doc_id").eqNullSafe(F.col("_kid")) & (F.col("sha") == F.col("_ksha")) & F.col(group).eqNullSafe(F.col("_kgroup")), "left")
+    gone = written(held.where("_ksha is null or _times > 1").select(F.col("doc_id").alias("_gid"), F.col("sha").alias("_gsha"), F.col("_ksha").isNotNull().alias("_one")), "gone")
+    keyed = df.select(F.struct("*").alias("_all"), F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
+    on = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_sha") == F.col("_gsha"))
+    plain = keyed.join(gone, on, "left_anti").select("_all.*")
+    once = keyed.join(gone.where("_one"), on, "left_semi").groupBy("_id", "_sha").agg(F.first("_all").alias("_all")).select("_all.*")
+    return plain.unionByName(once)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import whole_text, written
+from helixframe.llm.common import keep_only, whole_text, written
 
 MIN, MAX = 768, 8192
 
@@ -39,7 +39,7 @@ def dictionary(source: DataFrame, parts: Column, _identifier=identifier) -> Data
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN, most: int = MAX, _identifier=identifier) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, text_bytes.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, text_bytes, keep_row (the group's number).
 
     Of rows with identical texts the one with the largest id stays. A null text counts as empty. A null id is smaller
     than any other. Of repeated rows with the same id and text exactly one stays. Other columns of df aren't returned and
@@ -60,7 +60,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = keyed.groupBy("recipe", "spelled").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     on = keyed["recipe"].eqNullSafe(groups["recipe"]) & keyed["spelled"].eqNullSafe(groups["spelled"])
     out = keyed.join(groups, on)
-    return out.select(keyed["doc_id"], F.col("keep.doc_id").alias("keep_id"), "group_size", (keyed["row"] == F.col("keep.row")).alias("kept"), "text_sha256", "text_bytes", keyed["row"].alias("row"))
+    return out.select(keyed["doc_id"], F.col("keep.doc_id").alias("keep_id"), "group_size", (keyed["row"] == F.col("keep.row")).alias("kept"), "text_sha256", "text_bytes", F.col("keep.row").alias("keep_row"))
 
 
 def _spelled(source: DataFrame, recipes: DataFrame, unverified: DataFrame, parts: Column, _identifier) -> DataFrame:
@@ -78,14 +78,8 @@ def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of rows that repeat both id and text one stays; only such rows are grouped with their texts.
     """
-    found = written(exact_groups(df, id_col, text_col).select("doc_id", "text_sha256", "kept"), "groups")
-    keyed = df.select(F.struct("*").alias("_all"), F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
-    by_key = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("times"))
-    gone = by_key.where(~F.col("stays") | (F.col("times") > 1)).select(F.col("doc_id").alias("_gid"), F.col("text_sha256").alias("_gsha"), (F.col("stays") & (F.col("times") > 1)).alias("_one"))
-    on = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_sha") == F.col("_gsha"))
-    plain = keyed.join(gone, on, "left_anti").select("_all.*")
-    once = keyed.join(gone.where("_one"), on, "left_semi").groupBy("_id", "_sha").agg(F.first("_all").alias("_all")).select("_all.*")
-    return plain.unionByName(once)
+    groups = exact_groups(df, id_col, text_col).select("doc_id", F.col("text_sha256").alias("sha"), "keep_row")
+    return keep_only(df, written(groups, "groups"), "keep_row", F.max, id_col, text_col)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """The operators' named queries over the test tables, with SQL where it can say the same."""
 
-from helixframe.llm import exact_dedup, packing, pii, warc
+from helixframe.llm import exact_dedup, langid, packing, pii, simhash, warc
 
 QUERIES = {
     "op1_pii": pii.op1,
     "op2_warc": warc.op2,
     "op6_exact_dedup": exact_dedup.op6,
     "op8_packing": packing.op8,
+    "op9_language_id": langid.op9,
+    "op10_simhash": simhash.op10,
 }
 ORACLES = {
     "op2_warc": warc.OP2_SQL,

@@ -1,0 +1,112 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from helixframe.llm import simhash as x
+
+
+def slow(text):
+    """The fingerprint bit by bit."""
+    w = [p for p in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in " \t\n\x0b\f\r" else c for c in text or "").split(" ") if p]
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 3 else [" ".join(w)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def roots(values, k=2):
+    """Components by comparing all pairs."""
+    parent = {v: v for v in values}
+
+    def top(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    vs = sorted(parent)
+    a = np.array(vs, np.uint64)
+    for i, v in enumerate(vs):
+        near = np.flatnonzero(np.bitwise_count(a[i + 1 :] ^ a[i]) <= k) + i + 1
+        for j in near:
+            p, q = top(v), top(vs[j])
+            parent[max(p, q)] = min(p, q)
+    return {v: top(v) for v in vs}
+
+
+def test_fingerprint():
+    rng = random.Random(4)
+    texts = ["", " \n\t", "One", "one TWO", "a b c", "É é x Y z", "a " * 70000, *(" ".join(rng.choice("abcÄdeXY") for _ in range(rng.randrange(30))) for _ in range(200))]
+    for t in texts:
+        assert x.fingerprint(t.encode()) == slow(t), t[:40]
+
+
+def test_allocation():
+    assert x.allocate([[5, 6, 7], [1, 2, 30]])[1] in ([0, 1], [1, 0])
+    assert sum(x.allocate([[1, 9, 99]] * 4)[1]) == -1
+    assert x.allocate([[100, 200, 300], [1, 2, 3], [100, 200, 300]]) == (3, [-1, 2, -1])
+    assert len(x.flips([1, 5, 9], 2)) == 7 and set(x.flips([1, 5, 9], 1)) == {0, 2, 32, 512}
+
+
+def cloud(seed, n):
+    """Random values, chains and a dense cloud around one value."""
+    rng = random.Random(seed)
+    out = {rng.getrandbits(64) for _ in range(n)}
+    for v in list(out)[: n // 4]:
+        for _ in range(3):
+            v ^= 1 << rng.randrange(64)
+            v ^= (1 << rng.randrange(64)) * rng.randrange(2)
+            out.add(v)
+    centre = rng.getrandbits(64)
+    out |= {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ ((1 << rng.randrange(64)) * rng.randrange(2)) for _ in range(n)}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("how", ["chosen", [0, 0, 0], [1, 0], [-1, 2], [0, -1, 1], [-1, 0, 0, 0]])
+@pytest.mark.parametrize("bucket", [4, 100000])
+def test_links_and_components(spark, how, bucket):
+    values = cloud(len(how), 300)
+    nodes = spark.createDataFrame([(x._signed(v),) for v in values], "fp long")
+    n, together = x.bit_counts(nodes)
+    assert n == len(values) and together[3, 7] == sum(v >> 3 & 1 and v >> 7 & 1 for v in values)
+    plan = x.choose(nodes) if how == "chosen" else x.Partitioning(x.grouped_bits(n, together, len(how)), how)
+    assert sorted(b for g in plan.groups for b in g) == list(range(64)) and sum(plan.thresholds) == 2 - len(plan.groups) + 1
+    edges = x.links(nodes, plan, bucket=bucket)
+    assert edges.where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 2) | (F.col("a") >= F.col("b"))).count() == 0
+    got = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in x.components(edges).collect()}
+    want = roots(values)
+    group = lambda m: sorted(sorted(v for v in values if m.get(v, v) == r) for r in {m.get(v, v) for v in values})
+    assert group(got) == group(want)
+
+
+def test_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    got = {r.node: r.root for r in x.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000}
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    fp = {i: slow(t) for i, t in docs.items()}
+    root = roots(set(fp.values()))
+    first = {}
+    for i in sorted(docs):
+        first.setdefault(root[fp[i]], i)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in x.op10(spark, sf).collect()}
+    assert got == {i: (f"{fp[i]:016x}", first[root[fp[i]]]) for i in docs}
+
+
+def test_frames(spark):
+    rows = [(4, "a b c d", 1), (2, "A b c d", 2), (None, "a b C d", 3), (5, None, 4), (3, "  ", 5), (3, "  ", 6), (7, "other words stand here", 7), (None, "quite another text", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = {(r.doc_id, r.fp): r.component_id for r in x.near_groups(df).collect()}
+    assert {v for k, v in got.items() if k[1] == x._signed(slow("a b c d"))} == {2} and got[(3, 0)] == got[(5, 0)] == 3
+    kept = x.kept_rows(df)
+    assert kept.columns == df.columns
+    kept = [tuple(r)[:2] for r in kept.collect()]
+    assert sorted(kept, key=repr) == sorted([(None, "a b C d"), (None, "quite another text"), (3, "  "), (7, "other words stand here")], key=repr)
+    assert x.near_groups(df.limit(0)).count() == 0 and x.kept_rows(df.limit(0)).count() == 0

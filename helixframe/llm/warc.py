@@ -69,9 +69,16 @@ def write_warc(records: DataFrame, path: str) -> None:
         for b in batches:
             out = [_member(_info())[:-1]] if first and b.num_rows else []
             first = first and not b.num_rows
-            for kind, rid, uri, payload, digest, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held = 0
+            for row in zip(*b.columns, strict=True):  # one row at a time, so that a worker holds a batch once
+                kind, rid, uri, payload, digest, refers = (x.as_py() for x in row)
                 out.append(_member(record(kind, rid, uri, payload, digest, refers))[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                held += len(out[-1])
+                if held >= BATCH // 4:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     cols = records.select("record_type", "record_id", "target_uri", "payload", "payload_digest", "refers_to")
     cols.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
@@ -167,7 +174,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 return found
 
             for b in batches:
-                for file, block, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for row in zip(*b.columns, strict=True):
+                    file, block, piece = (x.as_py() for x in row)
                     if (file, block) != key:
                         rows += finish(m, key)
                         key, m = (file, block), _Machine(block == 0)

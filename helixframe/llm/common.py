@@ -84,3 +84,11 @@ def keep_only(df: DataFrame, rows: DataFrame, group: str, best, id_col: str = "d
     plain = keyed.join(gone, on, "left_anti").select("_all.*")
     once = keyed.join(gone.where("_one"), on, "left_semi").groupBy("_id", "_sha").agg(F.first("_all").alias("_all")).select("_all.*")
     return plain.unionByName(once)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that df doesn't have in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

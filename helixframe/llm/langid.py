@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import free_name
+
 #: Bounds of what is fitted on: labelled documents per language (expected), languages, and most frequent words.
 SAMPLE, LANGUAGES, WORDS = 300, 256, 60_000
 ROUNDS, SMOOTH = 4, 0.05
@@ -250,14 +252,6 @@ def language(model: Model, text: Column) -> Column:
     return predict(text)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """The name, or a longer one that df doesn't have in any case of letters."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name += "_"
-    return name
-
-
 def accepted_rows(df: DataFrame, vocabulary_path: str) -> DataFrame:
     """df's rows, with all columns, whose text has a language."""
     name = free_name(df, "_language")

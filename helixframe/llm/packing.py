@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,56 +29,92 @@ CAPACITY = 2048
 END = 0
 #: Lengths in one bin of the fit, and bins in one pattern.
 BIN, PARTS = 32, 4
-#: Words whose ids a worker keeps, in each of two generations.
-CACHE = 120_000
+#: Letters that stay single composed letters in lower case, and ASCII punctuation without the apostrophe, which may begin
+#: a piece of its own.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ɏА-яёЁ"
+_MARKS = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
+#: Bytes of text that are tokenized together.
+BLOCK = 16 << 20
 #: The plan is broadcast up to so many rows; a longer one is joined by shuffling.
 PLAN_ROWS = 65_536
 
 
 class WordTokenizer:
-    """The tokenizer's ids for whole texts, by way of ids of blank-separated words.
+    """The tokenizer's ids for whole texts, by way of ids of their distinct words.
 
-    Only for a tokenizer whose pieces never cross a blank or newline and that drops both, so that a text's ids are its
-    words' ids in order. Words already seen aren't tokenized again; memory is bounded by dropping the older generation.
+    Only for a tokenizer whose pieces never cross a blank, a newline, or the border of letters and punctuation, that drops
+    blanks and newlines, and marks the last token of each run. A text's ids are then its words' ids in order, and a word of
+    letters with punctuation after it has the letters' ids and the punctuation's. Splitting a text into runs is most of the
+    tokenizer's work; Arrow does it here, and finds the distinct runs, so the model gets each run of letters of a block
+    once and as it is. Words of any other form go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Makes ids of all these words known."""
-        new, old = self.new, self.old
-        missing = []
-        for w in words:
-            if w not in new:
-                if (ids := old.get(w)) is not None:
-                    new[w] = ids
-                else:
-                    missing.append(w)
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for w, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
-                new[w] = np.asarray(e.ids, "<u4").tobytes()
+        from tokenizers.normalizers import Lowercase
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        tok, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        bare.normalizer, bare.pre_tokenizer = Lowercase(), ByteLevel(add_prefix_space=False, use_regex=False)
+        self.encode, self.encode_runs = tok.encode_batch_fast, bare.encode_batch_fast
+        self.last = np.zeros(tok.get_vocab_size(), bool)
+        self.last[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of words through the whole tokenizer, and how many each has."""
+        found = [e.ids for i in range(0, len(words), 4096) for e in self.encode(words[i : i + 4096], add_special_tokens=False)]
+        return [np.fromiter((i for ids in found for i in ids), "<u4")], list(map(len, found))
+
+    def _runs(self, runs: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of runs of letters, each of which has one marked token, its last."""
+        flat, sizes = [], []
+        for i in range(0, len(runs), 8192):
+            ids = np.asarray(self.encode_runs([runs[i : i + 8192]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            flat.append(ids)
+            sizes += np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0).tolist()
+        return flat, sizes
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids. Very long texts are done in blocks of words."""
-        words = text.replace("\n", " ").split(" ")
-        out = []
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            try:
-                out += map(self.new.__getitem__, part)
-            except KeyError:
-                del out[i:]
-                self.learn(set(part))
-                out += map(self.new.__getitem__, part)
-            if len(self.new) > CACHE:
-                self.old, self.new = self.new, {}
-        return b"".join(out)
+        """Little-endian unsigned 32-bit ids of one text."""
+        return b"".join(self.all_ids(pa.array(cut(text), pa.string())))
+
+    def all_ids(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a block."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        form = pc.extract_regex(words, f"^(?P<run>[{_LETTERS}]+)(?P<tail>[{_MARKS}]*)$")
+        simple = np.asarray(form.is_valid())
+        runs, tails = (form.field(i).filter(pa.array(simple)).dictionary_encode() for i in (0, 1))
+        rest = words.filter(pa.array(~simple)).to_pylist() + tails.dictionary.to_pylist()
+        flat, sizes = self._runs(runs.dictionary.to_pylist())
+        more, others = self._words(rest)
+        # each distinct word is two of the parts: its run and tail, or the word itself and nothing
+        size = np.array([*sizes, *others, 0], np.int64)
+        parts = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]), np.concatenate([*flat, *more]))
+        two = np.full((len(words), 2), len(size) - 1, np.int64)
+        alone = len(rest) - len(tails.dictionary)
+        two[simple, 0] = np.asarray(runs.indices)
+        two[simple, 1] = len(sizes) + alone + np.asarray(tails.indices)
+        two[~simple, 0] = len(sizes) + np.arange(alone)
+        length = size[two].sum(1)
+        each = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]), parts.take(pa.array(two.ravel())).flatten())
+        data = np.asarray(each.take(coded.indices).flatten()).tobytes()
+        at = np.concatenate([[0], np.cumsum(length[np.asarray(coded.indices)])])
+        ends = 4 * at[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def cut(text: str, size: int | None = None) -> list[str]:
+    """The text in pieces of about that size that end before a blank."""
+    size, out, at = size or BLOCK, [], 0
+    while len(text) - at > size:
+        end = text.find(" ", at + size)
+        if end < 0:
+            break
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
 
 
 _held: dict[str, WordTokenizer] = {}
@@ -103,11 +140,27 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = _tokenizer(tokenizer)
+        def tokenized(texts: pa.Array) -> Iterator[bytes]:
+            sizes = np.asarray(pc.binary_length(texts))
+            first = total = 0
+            for i, n in enumerate(sizes.tolist()):
+                if n > BLOCK or total + n > BLOCK:
+                    if first < i:
+                        yield from tok.all_ids(texts.slice(first, i - first))
+                    first, total = i, 0
+                if n > BLOCK:
+                    yield b"".join(tok.all_ids(pa.array([part]))[0] for part in cut(texts[i].as_py()))
+                    first = i + 1
+                else:
+                    total += n
+            if first < len(texts):
+                yield from tok.all_ids(texts.slice(first))
+
         for b in batches:
             rows: list[tuple] = []
             held = 0
-            for i, t in enumerate(b.column(1)):
-                ids = tok.ids(t.as_py()) + end
+            for i, ids in enumerate(tokenized(b.column(1))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
                     rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), part))

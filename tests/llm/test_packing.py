@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -15,19 +16,21 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_words_give_the_texts_ids():
     whole, words = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
     rng = random.Random(5)
-    texts = ["", " ", "\n\n", "It's  we'll\tdon't", "É́a ́x \x1c a b c 　", "ΑΣ Σ. İstanbul ǅ", "x" * 5000, "12 3,4;;'s 's", "a <|endoftext|> b<|startoftext|>"]
-    alphabet = "abcEÉé́'slt 0½²_-\n\t .ßΣ漢字🙂\x1c\u0085"
+    texts = ["", " ", "\n\n", "It's  we'll\tdon't", "É́a ́x \x1c a b c 　", "ΑΣ Σ. İstanbul ǅ", "x" * 5000, "abc,- def.'s {x} [y]\\z", "ñandú-ÉTÉ, ÆØ ǅ ёлка ЁЖ", "12 3,4;;'s 's", "a <|endoftext|> b<|startoftext|>"]
+    alphabet = "abcEÉéñß,.]\\[-́'slt 0½²_-\n\t .ßΣ漢字🙂\x1c\u0085"
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(3000)]
     for t in texts:
         assert np.frombuffer(words.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_cache_bound(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 50)
-    w = packing.WordTokenizer(PATH)
-    for i in range(300):
-        w.ids(f"word{i} again")
-    assert len(w.new) + len(w.old) <= 150
+def test_blocks(monkeypatch):
+    whole, words = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    text = " ".join(f"word{i} näher, (x)" for i in range(500))
+    for size in (1, 50, 10**6):
+        monkeypatch.setattr(packing, "BLOCK", size)
+        assert "".join(packing.cut(text)) == text
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert words.all_ids(pa.array(["a b", "", "c"])[1:]) == [b"", words.ids("c")]
 
 
 def test_nnls():

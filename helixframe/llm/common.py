@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +20,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Files of a table written after a shuffle, at most, for each core of the cluster.
+FILES_PER_CORE = 4
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df, made by a shuffle, in at most so many partitions for each core, and so in no more files than that."""
+    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: what comes after reads it, and needs no lost executor's files."""
     path = shared_path(df.sparkSession, name)
@@ -68,6 +81,10 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
 
 
+#: Keys of rows to drop that are broadcast at most, about 150 bytes each; more are joined by shuffling.
+GONE_ROWS = 200_000
+
+
 def keep_only(df: DataFrame, rows: DataFrame, group: str, best, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df, with all its columns, cut to one row of each group.
 
@@ -78,11 +95,16 @@ def keep_only(df: DataFrame, rows: DataFrame, group: str, best, id_col: str = "d
     stays = rows.groupBy(group).agg(best(F.struct("doc_id", "sha")).alias("_best")).select(F.col("_best.doc_id").alias("_kid"), F.col("_best.sha").alias("_ksha"), F.col(group).alias("_kgroup"))
     times = rows.groupBy("doc_id", "sha", group).agg(F.count(F.lit(1)).alias("_times"))
     held = times.join(stays, F.col("doc_id").eqNullSafe(F.col("_kid")) & (F.col("sha") == F.col("_ksha")) & F.col(group).eqNullSafe(F.col("_kgroup")), "left")
-    gone = written(held.where("_ksha is null or _times > 1").select(F.col("doc_id").alias("_gid"), F.col("sha").alias("_gsha"), F.col("_ksha").isNotNull().alias("_one")), "gone")
+    gone = held.where("_ksha is null or _times > 1").select(F.col("doc_id").alias("_gid"), F.col("sha").alias("_gsha"), F.col("_ksha").isNotNull().alias("_one"))
+    gone = written(gathered(gone), "gone")
     keyed = df.select(F.struct("*").alias("_all"), F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
     on = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_sha") == F.col("_gsha"))
-    plain = keyed.join(gone, on, "left_anti").select("_all.*")
-    once = keyed.join(gone.where("_one"), on, "left_semi").groupBy("_id", "_sha").agg(F.first("_all").alias("_all")).select("_all.*")
+    few = gone.count() <= GONE_ROWS
+    plain = keyed.join(F.broadcast(gone) if few else gone, on, "left_anti").select("_all.*")
+    repeated = gone.where("_one")
+    if repeated.isEmpty():
+        return plain
+    once = keyed.join(F.broadcast(repeated) if few else repeated, on, "left_semi").groupBy("_id", "_sha").agg(F.first("_all").alias("_all")).select("_all.*")
     return plain.unionByName(once)
 
 
@@ -92,3 +114,37 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded by bytes, since both the executor and its workers hold whole batches."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = re.fullmatch(r"([0-9]+)([bkmg]?)b?", (conf.get(key, None) or "").lower())
+    if not now or not 0 < int(now[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Workers wait for further tasks, and there can be several to each core."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which maps an iterator of batches to another, with its memory given back at the end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

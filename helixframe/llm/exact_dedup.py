@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import keep_only, whole_text, written
+from helixframe.llm.common import gathered, keep_only, whole_text, written
 
 MIN, MAX = 768, 8192
 
@@ -52,7 +52,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source.select("doc_id", F.monotonically_increasing_id().alias("row"), F.transform(parts, _identifier).alias("recipe"), F.octet_length(text).alias("text_bytes"), F.sha2(text, 256).alias("text_sha256")),
         "recipes",
     )
-    unverified = written(dictionary(source, parts, _identifier).where("low != high").select("id"), "unverified")
+    unverified = written(gathered(dictionary(source, parts, _identifier).where("low != high").select("id")), "unverified")
     if unverified.isEmpty():
         keyed = recipes.withColumn("spelled", F.lit(None).cast("array<string>"))
     else:  # hash collisions: the documents concerned spell such chunks out
@@ -70,7 +70,7 @@ def _spelled(source: DataFrame, recipes: DataFrame, unverified: DataFrame, parts
     chunk = F.transform(F.array_sort(F.collect_set(F.struct("pos", "chunk"))), lambda x: x["chunk"])
     spelled = hit.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(chunk.alias("spelled"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha"))
-    return written(recipes.join(spelled, on, "left").drop("_id", "_sha"), "spelled")
+    return written(gathered(recipes.join(spelled, on, "left").drop("_id", "_sha")), "spelled")
 
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,7 +79,7 @@ def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows that repeat both id and text one stays; only such rows are grouped with their texts.
     """
     groups = exact_groups(df, id_col, text_col).select("doc_id", F.col("text_sha256").alias("sha"), "keep_row")
-    return keep_only(df, written(groups, "groups"), "keep_row", F.max, id_col, text_col)
+    return keep_only(df, written(gathered(groups), "groups"), "keep_row", F.max, id_col, text_col)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import SPAN, base_of, count_kind, joined
+from helixframe.llm.common import SPAN, base_of, count_kind, joined, small_batches, tidy
 
 #: Fixed order of kinds at equal starts.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
@@ -149,7 +149,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("spans", T.ArrayType(SPAN))])
-    return source.mapInArrow(scan, schema)
+    return small_batches(source).mapInArrow(tidy(scan), schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import base_of, count_kind, joined, written
+from helixframe.llm.common import base_of, count_kind, gathered, joined, written
 
 #: Fixed order of kinds at equal starts; the first three are the base.
 KINDS = ("assign", "access", "hex", "login", "endpoint", "key")
@@ -116,7 +116,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     identifier and a secret. A null or empty text has no span; an empty table gives an empty result. Other columns aren't
     returned and may have any name."""
     found = scanned(df, id_col, text_col)
-    p = written(parts(found), "parts")
+    p = written(gathered(parts(found)), "parts")
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     span = F.struct("start", F.col("kind").alias("rank"), name.alias("kind"), "end", (F.col("kind") < 3).alias("base"))
     spans = reported(p).groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import keep_only, written
+from helixframe.llm.common import gathered, keep_only, small_batches, tidy, written
 
 BITS, K, WORDS, SEED = 64, 2, 3, 42
 #: Fingerprints under one value that are paired; beyond it they are linked by neighbours.
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = df.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha"), text.cast("binary").alias("text"))
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("sha", T.StringType()), T.StructField("fp", T.LongType())])
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(tidy(run), schema)
 
 
 def _signed(x: int) -> int:
@@ -88,7 +88,7 @@ def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
             flat = np.append(c.astype(np.int64).ravel(), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["cell", "n"])
 
-    got = nodes.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    got = nodes.select("fp").mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(BITS * BITS + 1)
     for r in got:
         flat[r["cell"]] = r["n"]
@@ -198,7 +198,8 @@ def links(nodes: DataFrame, how: Partitioning, k: int = K, bucket: int = BUCKET)
         probes += [F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(_signed(m))).alias("value")) for m in flips(g, t)]
     index = nodes.select("fp", F.explode(F.array(*own)).alias("x")).select(F.col("fp").alias("a"), "x.part", "x.value")
     probe = nodes.select("fp", F.explode(F.array(*probes)).alias("x")).select(F.col("fp").alias("b"), "x.part", "x.value")
-    full = written(index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).drop("n"), "full")
+    full = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).drop("n")
+    full = written(gathered(full), "full")
     on = ["part", "value"]
     other = F.col("a") != F.col("b") if any(t > 0 for t in how.thresholds) else F.col("a") < F.col("b")
     near = index.join(full, on, "left_anti").join(probe, on).where(other & (_differ(F.col("a"), F.col("b")) <= k))
@@ -213,7 +214,7 @@ def links(nodes: DataFrame, how: Partitioning, k: int = K, bucket: int = BUCKET)
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is its component's smallest node."""
-    now = written(edges.select("a", "b"), "links")
+    now = written(gathered(edges.select("a", "b")), "links")
     for _ in range(most_rounds):
         ends = now.select(F.col("b").alias("node"), F.col("a").alias("parent")).unionAll(now.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("parent")))
         seen = ends.groupBy("node").agg(F.min("parent").alias("low"), F.max("parent").alias("high"), F.max(F.col("parent").isNull()).alias("is_parent"))
@@ -226,7 +227,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: the node and its smaller neighbours go to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("low")).select(F.col("b").alias("u"), "low")
         small = large.join(low, F.col("b") == F.col("u")).where("a != low").select(F.col("low").alias("a"), F.col("a").alias("b"))
-        now = written(small.unionAll(low.select(F.col("low").alias("a"), F.col("u").alias("b"))).distinct(), "links")
+        now = written(gathered(small.unionAll(low.select(F.col("low").alias("a"), F.col("u").alias("b"))).distinct()), "links")
     else:
         raise RuntimeError("components didn't settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
@@ -237,7 +238,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     doc_id). Texts without words have fingerprint zero and link like any other. Rows with a null id take part; a
     component of null ids only has a null component_id. An empty table gives an empty result."""
     rows = written(fingerprints(df, id_col, text_col, words), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = written(gathered(rows.groupBy("fp").agg(F.min("doc_id").alias("first"))), "nodes")
     how = choose(nodes, k)
     root = components(links(nodes, how, k, bucket))
     placed = nodes.join(root, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "first", F.coalesce("root", "fp").alias("root"))
@@ -248,7 +249,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows, with all columns, that have their component's smallest id; one row of each component."""
-    groups = written(near_groups(df, id_col, text_col).select("doc_id", "sha", "root"), "components")
+    groups = written(gathered(near_groups(df, id_col, text_col).select("doc_id", "sha", "root")), "components")
     return keep_only(df, groups, "root", F.min, id_col, text_col)
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.common import small_batches, tidy
+
 #: Fixed tag numbers of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_SIZE, PLANES, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_SIZE, FORMAT, FILL = 322, 323, 324, 325, 339, 266
@@ -266,7 +268,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     first, media, sizes, held = i + 1, [], [], 0
 
     source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    return source.mapInArrow(run, T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
+    return small_batches(source).mapInArrow(tidy(run), T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
 
 _PAGE = [("page", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("feature", pa.string()), ("pixels", pa.binary()), ("error", pa.string())]
@@ -300,7 +302,7 @@ def decode_pages(df: DataFrame, media: Column | str = "media", keep: tuple[str,
 
     source = df.select(F.col(media).alias("_media") if isinstance(media, str) else media.alias("_media"), *keep)
     kinds = T.StructType.fromDDL("page int, width long, height long, samples int, bits int, compression int, predictor int, feature string, pixels binary, error string")
-    return source.mapInArrow(run, T.StructType([*(source.schema[k] for k in keep), *kinds]))
+    return small_batches(source).mapInArrow(tidy(run), T.StructType([*(source.schema[k] for k in keep), *kinds]))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

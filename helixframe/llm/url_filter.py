@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.common import small_batches, tidy
+
 #: Bounds of what is fitted on: labelled urls of each class, and suffixes with statistics of their own.
 SAMPLE, SUFFIXES = 10_000, 256
 TREES, DEPTH, RATE, RIDGE, BINS = 60, 3, 0.2, 1.0, 64
@@ -208,7 +210,7 @@ def judge(df: DataFrame, model: Trees, id_col: str = "page_id", url_col: str = "
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(verdicts, pa.string()), pa.array(p)], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
     kinds = [T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")]
-    return rows.mapInArrow(run, T.StructType([T.StructField("page_id", rows.schema["page_id"].dataType), *kinds, T.StructField("score", T.DoubleType())]))
+    return small_batches(rows).mapInArrow(tidy(run), T.StructType([T.StructField("page_id", rows.schema["page_id"].dataType), *kinds, T.StructField("score", T.DoubleType())]))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import shared_path, written
+from helixframe.llm.common import gathered, shared_path, small_batches, tidy, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads shorter than this are never replaced by a revisit.
@@ -81,7 +81,7 @@ def write_warc(records: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     cols = records.select("record_type", "record_id", "target_uri", "payload", "payload_digest", "refers_to")
-    cols.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    small_batches(cols).mapInArrow(tidy(members), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
 def parse(data: bytes) -> tuple | None:
@@ -205,8 +205,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         rows = [r for x in m.records if (r := parse(x))]
         return pa.Table.from_pylist([dict(zip(kind.names, r, strict=False)) for r in rows], pa.schema(list(kind)[:7]))
 
-    whole = pieces.mapInArrow(scan(True), _SCAN).drop("file", "block", "seq", "piece")
-    broken = pieces.mapInArrow(scan(False), _SCAN).select("file", "block", "seq", "piece")
+    whole = small_batches(pieces).mapInArrow(tidy(scan(True)), _SCAN).drop("file", "block", "seq", "piece")
+    broken = pieces.mapInArrow(tidy(scan(False)), _SCAN).select("file", "block", "seq", "piece")
     return whole.unionByName(broken.groupBy("file").applyInArrow(mend, RECORD))
 
 
@@ -226,7 +226,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archive")
-    write_warc(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
+    write_warc(gathered(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))), path)
     got = read_warc(spark, path)
     page = lambda c: F.nullif(F.regexp_extract(c, "^urn:page:(.*)$", 1), F.lit("")).cast("bigint")
     digest = F.when(F.col("record_type") == "response", F.sha2(F.col("payload"), 256)).otherwise(F.col("payload_digest"))

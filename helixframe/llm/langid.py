@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import free_name
+from helixframe.llm.common import free_name, small_batches, tidy
 
 #: Bounds of what is fitted on: labelled documents per language (expected), languages, and most frequent words.
 SAMPLE, LANGUAGES, WORDS = 300, 256, 60_000
 ROUNDS, SMOOTH = 4, 0.05
 UNIT = 24
-#: Units whose scores a worker keeps, and characters of text whose new words are learnt together.
-CACHE, BLOCK = 400_000, 4 << 20
+#: Words whose scores a worker keeps in each of two generations, and characters of text whose new words are learnt together.
+CACHE, BLOCK = 60_000, 1 << 20
 UNDECIDED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"[\W\d_]")
@@ -148,7 +148,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fits on about so many documents per language, drawn by a hash of the id among those not held out."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(eligible("doc_id", "text", "lang"))
+    docs = small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(eligible("doc_id", "text", "lang"))
     n = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not n:
         return fit_counts([], vocabulary(vocabulary_path))
@@ -164,23 +164,29 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, (self.automaton, self.lengths) = model, _automaton(model.pieces)
-        self._clear()
-
-    def _clear(self) -> None:
         self.at: dict[str, int] = {}
+        self._fresh()
+
+    def _fresh(self) -> None:
+        """Begins a generation; the one before is kept."""
+        self.old_at, self.old_rows = self.at, self.rows if self.at else None
+        self.at = {}
         self.rows, self.n = np.zeros((1 << 12, len(self.model.languages))), 0
 
+    def _add(self, words: list[str], scores: np.ndarray) -> None:
+        while self.n + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.n : self.n + len(words)] = scores
+        self.at.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n += len(words)
+
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
             split = [units(w) for w in part]
             got = Lattice([u for s in split for u in s], self.automaton, self.lengths).scores(self.model.p)
             firsts = np.cumsum([0, *map(len, split[:-1])])
-            while self.n + len(part) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[self.n : self.n + len(part)] = np.add.reduceat(got, firsts, axis=0)
-            self.at.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n += len(part)
+            self._add(part, np.add.reduceat(got, firsts, axis=0))
 
     def _words(self, text: str) -> Iterator[list[str]]:
         """Words of blocks that end between words."""
@@ -213,8 +219,12 @@ class Scorer:
 
     def _know(self, words: set[str]) -> None:
         if len(self.at) > CACHE:
-            self._clear()
-        self._learn([w for w in words if w not in self.at])
+            self._fresh()
+        words = words - self.at.keys()
+        again = list(words & self.old_at.keys())
+        if again:
+            self._add(again, self.old_rows[[self.old_at[w] for w in again]])
+        self._learn(list(words.difference(again)))
 
     def _short(self, held: list[list[str]]) -> list[tuple[str, float]]:
         if not self.model.languages:
@@ -243,12 +253,15 @@ def language(model: Model, text: Column) -> Column:
     """struct(lang_pred, score) of a text: the likeliest language and its posterior under equal priors. A text that is
     null or has no letter is und with score 0; ties go to the first language by name."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for s in batches:
             yield pd.DataFrame(scorer.predict([None if t is None or t != t else t for t in s.tolist()]), columns=["lang_pred", "score"])
 
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(scored)(batches)
+
     return predict(text)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import ranked, written
+from helixframe.llm.common import ranked, small_batches, tidy, written
 
 CAPACITY = 2048
 #: Token that ends each document.
@@ -34,7 +34,7 @@ BIN, PARTS = 32, 4
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ɏА-яёЁ"
 _MARKS = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 #: Bytes of text that are tokenized together.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: The plan is broadcast up to so many rows; a longer one is joined by shuffling.
 PLAN_ROWS = 65_536
 
@@ -178,7 +178,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))])
-    return source.mapInArrow(run, schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema)
+    return small_batches(source).mapInArrow(tidy(run), schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema)
 
 
 def patterns(bins: int, parts: int = PARTS) -> list[tuple[int, ...]]:

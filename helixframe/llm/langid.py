@@ -147,14 +147,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits on about so many documents per language, drawn by a hash of the id among those not held out."""
+    """Fits on about so many documents per language, drawn by a hash of the id among those not held out.
+
+    A line counts once however often the sample has it, and not at all if documents of several languages have it, so
+    boilerplate and repeated passages don't pass for a language.
+    """
     docs = small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(eligible("doc_id", "text", "lang"))
     n = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not n:
         return fit_counts([], vocabulary(vocabulary_path))
     share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, sample / k))) for x, k in n.items()))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    # each line once, and none that documents of several languages share
+    lines = drawn.select("lang", F.explode(F.split("text", "\n")).alias("text")).groupBy("text").agg(F.min("lang").alias("lang"), F.max("lang").alias("_other")).where("lang = _other")
+    words = lines.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     top = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang", "word").limit(WORDS)
     return fit_counts([tuple(r) for r in top.collect()], vocabulary(vocabulary_path))
 

@@ -19,6 +19,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-b", "--prefilter", action="store_true", help="drop k-mers seen once in a first pass")
     p.add_argument("-c", "--count-cap", type=int, help="show larger counts as this")
     p.add_argument("-t", "--threads", default="*", help="local cores")
+    p.add_argument("-m", "--mode", type=int, choices=(0, 1, 2), help="table layout of other counters; accepted, without effect")
+    sizes = p.add_mutually_exclusive_group()
+    sizes.add_argument("-s", "--slots", type=int, help="table slots; accepted, without effect, as aggregates grow and spill")
+    sizes.add_argument("-u", "--unique", type=int, help="expected distinct k-mers; accepted, without effect")
+    p.add_argument("-f", "--fpr", type=float, help="filter's error rate; accepted, without effect, as the prefilter is exact")
     p.add_argument("--strip-cr", action="store_true", help="ignore carriage returns in FASTA")
     return p
 

@@ -73,6 +73,18 @@ def unpack(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", ALPHABET)
 
 
+def pack_blocks(s: Column) -> Column:
+    """An array of packed words, 31 symbols each but the last; for valid symbols of any number."""
+    return F.when(F.length(s) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(s), F.lit(MAX_PACKED)), lambda i: pack(F.substring(s, i, F.lit(MAX_PACKED)))))
+
+
+def unpack_blocks(blocks: Column, k: int) -> Column:
+    """The k symbols of packed words."""
+    last = k - (k - 1) // MAX_PACKED * MAX_PACKED
+    n = F.size(blocks)
+    return F.array_join(F.transform(blocks, lambda x, i: F.when(i + 1 < n, unpack(x, MAX_PACKED)).otherwise(unpack(x, last))), "")
+
+
 def strand_hash(s: Column) -> Column:
     """A 64-bit hash that both strands share."""
     return F.xxhash64(canonical(s))

@@ -60,6 +60,19 @@ def windows(df: DataFrame, column: str = "seq", k: int = 21, keep: tuple[str, ..
     return out.select(*keep, "seg_id", "pos", "forward", F.least("forward", "_b").alias("kmer"), (F.col("forward") <= F.col("_b")).alias("is_forward"))
 
 
+def window_symbols(df: DataFrame, column: str = "seq", k: int = 21, keep: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
+    """One row per window: keep columns, seg_id, pos, its leftmost and its rightmost (newest) symbol, and the symbol that the
+    step to it pushed off, null for the first window of a segment."""
+    _check_k(k)
+    seg = segments(df, column, keep).where(F.length("seg") >= k)
+    last = F.length("seg") - k + 1
+    t = seg.select(*keep, "seg_id", F.col("seg").cast("binary").alias("_bytes"), F.explode(F.sequence(F.lit(1), last, F.lit(tile))).alias("_at"), last.alias("_last"))
+    t = t.select("*", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + tile - 1, F.col("_last")))).alias("_i"))
+    symbol = lambda i: F.substring(F.col("_bytes"), i, F.lit(1)).cast("string")
+    off = F.when(F.col("_i") > 1, symbol(F.greatest(F.col("_i") - 1, F.lit(1))))
+    return t.select(*keep, "seg_id", (F.col("_i") - 1).cast("bigint").alias("pos"), symbol(F.col("_i")).alias("leftmost"), symbol(F.col("_i") + k - 1).alias("rightmost"), off.alias("pushed_off"))
+
+
 def with_reverse_strands(df: DataFrame, column: str = "seq") -> DataFrame:
     """The reads and the reverse complement of each; symbols other than ACGT stay as they are."""
     return df.select(column).unionAll(df.select(dna.reverse_complement(F.col(column)).alias(column)))

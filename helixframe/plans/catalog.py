@@ -79,7 +79,7 @@ def _scalars(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(
         s, dna.reverse_complement(s).alias("rc"), dna.canonical(s).alias("canon"), dna.canonical_sign(F.left(s, F.lit(4))).alias("sign4"), dna.is_clean(s).alias("clean"),
         dna.pack(F.left(s, F.lit(31))).alias("packed"), dna.unpack(dna.pack(F.left(s, F.lit(31))), 31).alias("unpacked"), dna.symbol_code(c).alias("code"), dna.code_symbol(dna.symbol_code(c)).alias("symbol"),
-        dna.complement_code(dna.symbol_code(c)).alias("comp_code"), dna.complement_char(c).alias("comp"),
+        dna.complement_code(dna.symbol_code(c)).alias("comp_code"), dna.complement_char(c).alias("comp"), F.array_join(dna.pack_blocks(s).cast("array<string>"), ",").alias("blocks"), dna.unpack_blocks(dna.pack_blocks(s), 32).alias("unblocked"),
     )
 
 
@@ -115,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "kmer_edges": lambda s, d: op.edges(docs(s, d), k=3),
     "kmer_edges_reads_k15": lambda s, d: op.edges(reads(s, d), k=15, min_abundance=2),
     "kmer_predecessors": lambda s, d: op.predecessors(docs(s, d), "seq", 3, ("doc_id",)),
+    "kmer_window_symbols": lambda s, d: op.window_symbols(docs(s, d), "seq", 3, ("doc_id",)),
     "run_lengths": lambda s, d: op.run_lengths(docs(s, d), "seq", 3),
     "kmer_lookup": _lookup,
     "union_strands": lambda s, d: op.count_kmers(op.with_reverse_strands(reads(s, d)), k=11, min_abundance=1),
@@ -163,7 +164,12 @@ _PRED = f"""WITH seg AS (SELECT doc_id, unnest(string_split_regex(text, '[^ACGTa
 SELECT doc_id, CAST(seg_id AS INTEGER) AS seg_id, CAST(i AS BIGINT) AS pos, {_canon("a")} AS pred, {_canon("b")} AS kmer, a <= translate(reverse(a), 'ACGT', 'TGCA') AS pred_is_forward,
  b <= translate(reverse(b), 'ACGT', 'TGCA') AS is_forward, ({_canon("b")})[1:1] AS first, ({_canon("b")})[3:3] AS last FROM w"""
 
+_SYMBOLS = """WITH seg AS (SELECT doc_id, unnest(string_split_regex(text, '[^ACGTacgt]+')) AS s, generate_subscripts(string_split_regex(text, '[^ACGTacgt]+'), 1) - 1 AS seg_id FROM documents),
+ w AS (SELECT doc_id, seg_id, upper(s) AS s, unnest(generate_series(1, length(s)-2)) AS i FROM seg WHERE length(s) >= 3)
+SELECT doc_id, CAST(seg_id AS INTEGER) AS seg_id, CAST(i - 1 AS BIGINT) AS pos, s[i:i] AS leftmost, s[i+2:i+2] AS rightmost, CASE WHEN i > 1 THEN s[i-1:i-1] END AS pushed_off FROM w"""
+
 ORACLES: dict[str, str] = {
+    "kmer_window_symbols": _SYMBOLS,
     "kmer_count_docs_k3": _of_docs(3),
     "kmer_count_docs_k3_a1": _of_docs(3, 1),
     "kmer_count_docs_k4": _of_docs(4),
@@ -193,7 +199,8 @@ FROM ({_of_reads(7, 1, " WHERE l_linenumber % 2 = 0")}) l FULL JOIN ({_of_reads(
     "dna_scalars": f"""SELECT s, translate(reverse(s), 'ACGT', 'TGCA') AS rc, {_canon("s")} AS canon,
  CAST(CASE WHEN s[1:4] < translate(reverse(s[1:4]), 'ACGT', 'TGCA') THEN 1 WHEN s[1:4] > translate(reverse(s[1:4]), 'ACGT', 'TGCA') THEN -1 ELSE 0 END AS INTEGER) AS sign4, regexp_full_match(s, '[ACGTacgt]*') AS clean,
  CAST(list_reduce(list_concat([0::HUGEINT], [CAST(instr('ACGT', c) - 1 AS HUGEINT) FOR c IN string_split(s[1:31], '')]), lambda a, b: a * 4 + b) AS BIGINT) AS packed, s[1:31] AS unpacked,
- CAST(instr('ACGT', s[1:1]) - 1 AS INTEGER) AS code, s[1:1] AS symbol, CAST(4 - instr('ACGT', s[1:1]) AS INTEGER) AS comp_code, translate(s[1:1], 'ACGT', 'TGCA') AS comp FROM (SELECT {READ} AS s FROM lineitem)""",
+ CAST(instr('ACGT', s[1:1]) - 1 AS INTEGER) AS code, s[1:1] AS symbol, CAST(4 - instr('ACGT', s[1:1]) AS INTEGER) AS comp_code, translate(s[1:1], 'ACGT', 'TGCA') AS comp,
+ CAST(list_reduce(list_concat([0::HUGEINT], [CAST(instr('ACGT', c) - 1 AS HUGEINT) FOR c IN string_split(s[1:31], '')]), lambda a, b: a * 4 + b) AS VARCHAR) || ',' || CAST(instr('ACGT', s[32:32]) - 1 AS VARCHAR) AS blocks, s AS unblocked FROM (SELECT {READ} AS s FROM lineitem)""",
     "fasta_roundtrip": _of_reads(11),
     "plain_roundtrip": _of_reads(11),
     "gzip_fasta": _of_reads(11),

@@ -8,11 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from helixframe.session import local_session
 
     os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH", "")
     s = local_session(4, 4, "4g", "tests")
-    s.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}") if s.conf.get("spark.checkpoint.dir", None) is None else None
     yield s
     s.stop()

@@ -135,6 +135,8 @@ def test_edges(spark):
     got = {(r.pred, r.kmer): r["count"] for r in op.edges(frame(spark, ["AAAC", "AANAC"]), k=2, tile=2).collect()}
     assert got == {("AA", "AA"): 1, ("AA", "AC"): 1}
     assert op.predecessors(frame(spark, ["AAAC"]), "seq", 2, (), tile=1).count() == 2
+    got = sorted(tuple(r) for r in op.window_symbols(frame(spark, ["ACGTNTT", None]), "seq", 2, (), tile=2).collect())
+    assert [r[1:] for r in got] == [(0, "A", "C", None), (1, "C", "G", "A"), (2, "G", "T", "C"), (0, "T", "T", None)]
     assert {tuple(r) for r in op.run_lengths(frame(spark, ["AAAC", "AAN"]), "seq", 2).collect()} == {(3, 1), (1, 1)}
 
 
@@ -147,6 +149,13 @@ def test_scalars(spark):
     assert tuple(row) == (2, 4, 4, 3, 9156, "GATTACA", True, False, "Z", "N", 0, True)
 
 
+@pytest.mark.parametrize("k", [1, 30, 31, 32, 62, 63, 100])
+def test_blocks(spark, k):
+    s = "GATTACA" * 20
+    row = spark.range(1).select(dna.unpack_blocks(dna.pack_blocks(F.lit(s[:k])), k).alias("u"), F.size(dna.pack_blocks(F.lit(s[:k]))).alias("n"), F.size(dna.pack_blocks(F.lit(""))).alias("e")).first()
+    assert tuple(row) == (s[:k], -(-k // 31), 0)
+
+
 def test_numbers():
     assert [numbers.next_prime(n) for n in (0, 8, 14, 7919)] == [2, 11, 17, 7919]
     assert numbers.next_prime(12, 3) == 19
@@ -173,5 +182,5 @@ def test_cli(tmp_path, spark, monkeypatch):
     from helixframe import cli
 
     (tmp_path / "r.fa").write_text(">a\nACGTACGT\n")
-    assert cli.main([str(tmp_path / "r.fa"), "4", "-a", "1", "-o", str(tmp_path / "o")]) == 0
+    assert cli.main([str(tmp_path / "r.fa"), "4", "-a", "1", "-m", "2", "-s", "100", "-o", str(tmp_path / "o")]) == 0
     assert as_dict(read_counts(spark, str(tmp_path / "o"))) == counted(["ACGTACGT"], 4)

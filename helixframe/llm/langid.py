@@ -272,10 +272,14 @@ def language(model: Model, text: Column) -> Column:
 
 
 def accepted_rows(df: DataFrame, vocabulary_path: str) -> DataFrame:
-    """df's rows, with all columns, whose text has a language."""
+    """df's rows, with all columns, whose text isn't null and has a letter. Where nothing can be learnt, as when no row has
+    a lang, these rows stay all the same."""
+    model = fit(df, vocabulary_path)
+    if not model.languages:
+        return df.where(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
     name = free_name(df, "_language")
     own = [F.col(f"`{c}`") for c in df.columns]
-    return df.withColumn(name, language(fit(df, vocabulary_path), F.col("text"))).where(F.col(f"{name}.lang_pred") != UNDECIDED).select(*own)
+    return df.withColumn(name, language(model, F.col("text"))).where(F.col(f"{name}.lang_pred") != UNDECIDED).select(*own)
 
 
 def default_vocabulary() -> str:

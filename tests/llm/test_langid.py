@@ -85,3 +85,14 @@ def test_frames(spark):
     assert got.columns == df.columns
     assert sorted(r.text for r in got.collect()) == ["the and with", "the and with", "über und der"]
     assert x.accepted_rows(df.limit(0), x.default_vocabulary()).count() == 0
+
+
+def test_rows_stay_where_nothing_can_be_learnt(spark):
+    texts = ["the and with", "über", "пример", None, "", "12 ²½ ..."]
+    unlabelled = [(i, t, None) for i, t in enumerate(texts)]
+    held = [(i, t, "en") for i, t in zip((5, 7, 15, 17, 20, 22), texts, strict=True)]
+    shared = [(i + 6 * k + 23, t, lang) for k, lang in enumerate(("en", "de")) for i, t in enumerate(texts[:1])]
+    for rows in (unlabelled, held, shared):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = [r.text for r in x.accepted_rows(df, x.default_vocabulary()).collect()]
+        assert sorted(got) == sorted(t for _, t, _ in rows if t in texts[:3])

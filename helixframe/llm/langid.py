@@ -9,7 +9,7 @@ labelled documents. Words are runs of letters in lower case; longer ones are sco
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import free_name, small_batches, tidy
+from helixframe.llm.common import free_name, small_batches, tidy, written
 
-#: Bounds of what is fitted on: labelled documents per language (expected), languages, and most frequent words.
+#: Bounds of what is fitted on: labelled documents per language (expected), languages, and most frequent words of each.
 SAMPLE, LANGUAGES, WORDS = 300, 256, 60_000
 ROUNDS, SMOOTH = 4, 0.05
 UNIT = 24
@@ -112,29 +112,38 @@ def _automaton(pieces: list[str]) -> tuple[ahocorasick.Automaton, np.ndarray]:
     return a, np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
-def fit_counts(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS, smooth: float = SMOOTH) -> Model:
-    """A model from (language, word, count). No counts give a model without languages."""
-    languages = sorted({c[0] for c in counts})
-    if not languages:
-        return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
-    column = {x: i for i, x in enumerate(languages)}
-    tally: dict[str, np.ndarray] = {}
-    for lang, word, n in counts:
+def _fit_language(words: list[tuple[str, int]], automaton: ahocorasick.Automaton, lengths: np.ndarray, rounds: int, smooth: float) -> np.ndarray:
+    """One language's probabilities, from (word, count); languages don't depend on each other."""
+    tally: dict[str, int] = {}
+    for word, n in words:
         for u in units(word):
-            if u not in tally:
-                tally[u] = np.zeros(len(languages))
-            tally[u][column[lang]] += n
-    automaton, lengths = _automaton(pieces)
-    lattice, weight = Lattice(list(tally), automaton, lengths), np.array(list(tally.values()))
-    p = np.repeat((0.02 ** (1 / np.maximum(np.append(lengths, 1), 1)) / len(pieces))[:, None], len(languages), 1)
+            tally[u] = tally.get(u, 0) + n
+    lattice, weight = Lattice(list(tally), automaton, lengths), np.array(list(tally.values()), float)[:, None]
+    p = (0.02 ** (1 / np.maximum(np.append(lengths, 1), 1)) / len(lengths))[:, None]
     for _ in range(rounds):
         a, b = lattice.forward(p), lattice.backward(p)
         share = weight / np.maximum(a[lattice.end], 1e-300)
         use = a[lattice.start] * p[lattice.piece] * b[lattice.to] * share[lattice.word]
-        c = np.stack([np.bincount(lattice.piece, use[:, i], len(pieces) + 1) for i in range(len(languages))], 1) + smooth
+        c = np.bincount(lattice.piece, use[:, 0], len(lengths) + 1)[:, None] + smooth
         p = c / c.sum(0)
         p[-1] = 1e-6  # a character outside the vocabulary tells little
-    return Model(languages, pieces, p)
+    return p[:, 0]
+
+
+def fit_words(words: Iterable[tuple[str, list[tuple[str, int]]]], pieces: list[str], rounds: int = ROUNDS, smooth: float = SMOOTH) -> Model:
+    """A model from each language's (word, count), one language at a time; those without words aren't in it."""
+    automaton, lengths = _automaton(pieces)
+    found = {lang: _fit_language(own, automaton, lengths, rounds, smooth) for lang, own in words if own}
+    languages = sorted(found)
+    return Model(languages, pieces, np.stack([found[x] for x in languages], 1) if found else np.zeros((len(pieces) + 1, 0)))
+
+
+def fit_counts(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS, smooth: float = SMOOTH) -> Model:
+    """A model from (language, word, count). No counts give a model without languages."""
+    by: dict[str, list[tuple[str, int]]] = {}
+    for lang, word, n in counts:
+        by.setdefault(lang, []).append((word, n))
+    return fit_words(by.items(), pieces, rounds, smooth)
 
 
 def eligible(id_col: str, text_col: str, lang_col: str) -> Column:
@@ -150,7 +159,8 @@ def fit(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: s
     """Fits on about so many documents per language, drawn by a hash of the id among those not held out.
 
     A line counts once however often the sample has it, and not at all if documents of several languages have it, so
-    boilerplate and repeated passages don't pass for a language.
+    boilerplate and repeated passages don't pass for a language. Each language has its own bound of WORDS words, ties cut
+    by a hash, so every sampled language that has a word of its own lines is in the model.
     """
     docs = small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(eligible("doc_id", "text", "lang"))
     n = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
@@ -161,8 +171,14 @@ def fit(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: s
     # each line once, and none that documents of several languages share
     lines = drawn.select("lang", F.explode(F.split("text", "\n")).alias("text")).groupBy("text").agg(F.min("lang").alias("lang"), F.max("lang").alias("_other")).where("lang = _other")
     words = lines.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    top = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang", "word").limit(WORDS)
-    return fit_counts([tuple(r) for r in top.collect()], vocabulary(vocabulary_path))
+    # of a bounded sample, so few files do
+    counts = written(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).coalesce(df.sparkSession.sparkContext.defaultParallelism), "words")
+
+    def top(lang: str) -> list[tuple[str, int]]:
+        own = counts.where(F.col("lang") == lang).select("word", "n")
+        return [tuple(r) for r in own.orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(WORDS).collect()]
+
+    return fit_words(((lang, top(lang)) for lang in sorted(n)), vocabulary(vocabulary_path))
 
 
 class Scorer:

@@ -96,3 +96,18 @@ def test_rows_stay_where_nothing_can_be_learnt(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
         got = [r.text for r in x.accepted_rows(df, x.default_vocabulary()).collect()]
         assert sorted(got) == sorted(t for _, t, _ in rows if t in texts[:3])
+
+
+def test_each_language_has_its_own_words(spark, monkeypatch):
+    monkeypatch.setattr(x, "WORDS", 5)
+    rows = [(i, " ".join(f"{lang}{c}" for c in "abcdefghijkl"), lang) for i, lang in enumerate(["de", "en", "th", "zh"])]
+    model = x.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), x.default_vocabulary())
+    assert model.languages == ["de", "en", "th", "zh"]
+
+
+def test_languages_are_fitted_alike_alone_and_together():
+    counts = [("aa", "abab", 5), ("aa", "ab", 3), ("bb", "baba", 5), ("bb", "bz", 2)]
+    pieces = ["▁", "▁a", "▁b", "a", "b", "ab", "ba"]
+    both = x.fit_counts(counts, pieces)
+    for i, lang in enumerate(both.languages):
+        assert np.allclose(both.p[:, [i]], x.fit_counts([c for c in counts if c[0] == lang], pieces).p)

@@ -5,24 +5,29 @@ due by slot ceil((j + 1) / w). One block runs per slot, of the released ones tha
 add up to one, every block meets its deadline, so after any slot each source that still has blocks has had its weight's
 share to less than one block.
 
-Weights are whole numbers of slots in a cycle, and the schedule repeats with the cycle. Its plan, one row per slot of a
-cycle, depends on the weights alone and is made once; rows find their slots by a join on it. A source's rows are numbered
-without gathering them. When a source runs out, its slots stay empty and the others keep their proportions; no row is
-left out or repeated.
+Weights are whole numbers of slots in a cycle, which is made so long that rounding them moves no block of any source by
+more than DRIFT blocks over the whole schedule; deviation from the target weights stays under 1 + DRIFT blocks. The plan,
+one row per block, is made on the driver in parts of PLAN_ROWS rows; rows find their slots by a join on it. A source's rows
+are numbered without gathering them. When a source runs out, its slots stay empty or go to blocks already released, and the
+others keep their proportions; no row is left out or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ranked, written
+from helixframe.llm.common import ranked, shared_path, written
 
 #: Rows in a block, and slots in a cycle for each source, but at least so many.
 BLOCK, SLOTS_PER_SOURCE, SLOTS = 32, 20, 1000
+#: Blocks by which rounding a weight to whole slots may move its source until that ends, and a bound of a cycle's slots.
+DRIFT, MOST_SLOTS = 0.25, 1 << 50
 #: Default weights are the sources' sizes to this power.
 POWER = 0.5
 #: A plan of up to so many slots is broadcast; a longer one is joined by shuffling.
@@ -40,16 +45,34 @@ def shares(weights: list[float], slots: int) -> list[int]:
     own = [max(1, int(x)) for x in exact]
     order = sorted(range(len(own)), key=lambda i: (own[i] - exact[i], i))
     assert spare >= 0
-    i = 0
-    while sum(own) < slots:
+    over = sum(own) - slots
+    for i in range(-over):
         own[order[i % len(own)]] += 1
-        i += 1
-    while sum(own) > slots:  # small sources were rounded up; those furthest above their weight give way
-        at = max((i for i in range(len(own)) if own[i] > 1), key=lambda i: (own[i] - exact[i], -i))
+    above = [(exact[i] - own[i], i) for i in range(len(own)) if own[i] > 1] if over > 0 else []
+    heapq.heapify(above)
+    for _ in range(over):  # small sources were rounded up; those furthest above their weight give way
+        _, at = heapq.heappop(above)
         own[at] -= 1
+        if own[at] > 1:
+            heapq.heappush(above, (exact[at] - own[at], at))
     return own
 
 
+def cycle(weights: list[float], blocks: list[int]) -> list[int]:
+    """The weights in whole slots of a cycle long enough for DRIFT, for sources of so many blocks.
+
+    MOST_SLOTS bounds it, so DRIFT may be missed where a weight is below about 1e-14 for each of its source's blocks.
+    """
+    total, slots = sum(weights), max(SLOTS, SLOTS_PER_SOURCE * len(weights))
+    while True:
+        own = shares(weights, slots)
+        # source i ends at about slot blocks / weight; its drift there is
+        drift = max(abs(o / slots / (w / total) - 1) * n for o, w, n in zip(own, weights, blocks, strict=True))
+        if drift <= DRIFT or 2 * slots > MOST_SLOTS:
+            return own
+        slots *= 2
+
+
 def release(j: int, share: int, slots: int) -> int:
     return j * slots // share
 
@@ -58,22 +81,28 @@ def deadline(j: int, share: int, slots: int) -> int:
     return -(-(j + 1) * slots // share)
 
 
-def schedule(own: list[int]) -> list[tuple[int, int]]:
-    """(source, its block) for each slot of a cycle, by earliest deadline first among released blocks."""
-    slots = sum(own)
-    waiting = [(0, i, 0) for i in range(len(own))]
+def turns(own: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(slot, source, its block) for so many blocks of each source, by earliest deadline first among released blocks."""
+    slots, t = sum(own), 0
+    waiting = [(0, i, 0) for i in range(len(own)) if blocks[i]]
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(slots):
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             _, i, j = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline(j, own[i], slots), i, j))
         due, i, j = heapq.heappop(ready)
         assert t < due
-        out.append((i, j))
-        if j + 1 < own[i]:
+        yield t, i, j
+        if j + 1 < blocks[i]:
             heapq.heappush(waiting, (release(j + 1, own[i], slots), i, j + 1))
-    return out
+        t += 1
+
+
+def schedule(own: list[int]) -> list[tuple[int, int]]:
+    """(source, its block) for each slot of a cycle."""
+    return [(i, j) for _, i, j in turns(own, own)]
 
 
 def _key(source: Column) -> Column:
@@ -81,53 +110,69 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def plan(spark: SparkSession, weights: dict[str, float]) -> tuple[DataFrame, int]:
-    """(_source, _index, _share, _slot) for each slot of a cycle, and the cycle's length."""
-    names = sorted(weights)
-    slots = max(SLOTS, SLOTS_PER_SOURCE * len(names))
-    own = shares([weights[n] for n in names], slots)
-    rows = [{"_source": names[i], "_index": j, "_share": own[i], "_slot": t} for t, (i, j) in enumerate(schedule(own))]
-    kind = "array<struct<_source: string, _index: int, _share: int, _slot: bigint>>"
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
-    return (F.broadcast(table) if slots <= PLAN_ROWS else table), slots
+def _table(spark: SparkSession, rows: Iterable[tuple[int, int, int, int]]) -> DataFrame:
+    """(_turn, _slot, _of, _index) of these rows."""
+    names, columns = ("_turn", "_slot", "_of", "_index"), list(zip(*rows, strict=True)) or [()] * 4
+    kind = f"struct<{', '.join(f'{n}: array<bigint>' for n in names)}>"
+    got = spark.range(1).select(F.from_json(F.lit(json.dumps(dict(zip(names, columns, strict=True)))), kind).alias("x"))
+    return got.select(F.inline(F.arrays_zip(*(F.col(f"x.{n}") for n in names))))
 
 
-def _weights(df: DataFrame, source_col: str, weights: dict[str | None, float] | None) -> tuple[dict[str, float], int]:
-    """Weights of the sources that df has, by key, and the number of rows."""
+def plan(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]) -> tuple[DataFrame, DataFrame, int]:
+    """(_turn, _slot, _of, _index) for each block in the order they run, (_source, _number, _share) for each source, and
+    the cycle's length."""
+    names = sorted(weights)
+    counts = [blocks[n] for n in names]
+    own = cycle([weights[n] for n in names], counts)
+    rows = ((k, t, i, j) for k, (t, i, j) in enumerate(turns(own, counts)))
+    few = sum(counts) <= PLAN_ROWS
+    if few:
+        table = F.broadcast(_table(spark, rows))
+    else:
+        path = shared_path(spark, "plan")
+        for part in itertools.batched(rows, PLAN_ROWS):
+            _table(spark, part).write.mode("append").parquet(path)
+        table = spark.read.parquet(path)
+    said = json.dumps([{"_source": n, "_number": i, "_share": own[i]} for i, n in enumerate(names)])
+    sources = spark.range(1).select(F.inline(F.from_json(F.lit(said), "array<struct<_source: string, _number: bigint, _share: bigint>>")))
+    return table, (F.broadcast(sources) if len(names) <= PLAN_ROWS else sources), sum(own)
+
+
+def _weights(df: DataFrame, source_col: str, weights: dict[str | None, float] | None) -> tuple[dict[str, float], dict[str, int]]:
+    """Weights and sizes of the sources that df has, by key."""
     sizes = df.groupBy(_key(F.col(source_col)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     got = {r["k"]: r["n"] for r in sizes.orderBy(F.desc("n"), "k").limit(SOURCES + 1).collect()}
     if len(got) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     if weights is None:
-        return {k: n**POWER for k, n in got.items()}, sum(got.values())
+        return {k: n**POWER for k, n in got.items()}, got
     named = {"null" if k is None else f"={k}": w for k, w in weights.items()}
     least = min(named.values(), default=1.0)
-    return {k: named.get(k, least) for k in got}, sum(got.values())
+    return {k: named.get(k, least) for k in got}, got
 
 
-def _placed(df: DataFrame, order: list[str], weights: dict[str, float], rows: int, block: int) -> DataFrame:
+def _placed(df: DataFrame, order: list[str], weights: dict[str, float], sizes: dict[str, int], block: int) -> DataFrame:
     """df, whose column _key names the source, with weight, block, release, deadline, slot and place."""
-    table, slots = plan(df.sparkSession, weights)
-    r = ranked(df, ["_key"], order, rows, "_rank")
-    own = table.where("_index = 0").select(F.col("_source").alias("_named"), F.col("_share").alias("_count"))
-    r = r.join(F.broadcast(own) if slots <= PLAN_ROWS else own, F.col("_key") == F.col("_named"))
+    table, sources, slots = plan(df.sparkSession, weights, {k: -(-n // block) for k, n in sizes.items()})
+    r = ranked(df, ["_key"], order, sum(sizes.values()), "_rank")
+    r = r.join(sources, F.col("_key") == F.col("_source"))
     r = r.withColumn("block", F.floor(F.col("_rank") / F.lit(block)).cast("bigint"))
-    r = r.withColumn("_cycle", F.floor(F.col("block") / F.col("_count")).cast("bigint")).withColumn("_at", F.pmod("block", "_count").cast("int"))
-    r = r.join(table, (F.col("_key") == F.col("_source")) & (F.col("_at") == F.col("_index")))
-    start, share = F.col("_cycle") * slots, F.col("_share")
+    r = r.join(table, (F.col("_number") == F.col("_of")) & (F.col("block") == F.col("_index")))
+    times = f"cast({slots} as decimal(18, 0))"  # products may have more than 64 bits
+    share = "cast(_share as decimal(18, 0))"
     return r.select(
         *df.columns,
-        (share / slots).alias("weight"),
+        (F.col("_share") / slots).alias("weight"),
         "block",
-        (start + F.floor(F.col("_at") * F.lit(slots) / share)).cast("bigint").alias("release"),
-        (start + F.ceil((F.col("_at") + 1) * F.lit(slots) / share)).cast("bigint").alias("deadline"),
-        (start + F.col("_slot")).cast("bigint").alias("slot"),
+        F.expr(f"cast(block as decimal(18, 0)) * {times} div {share}").alias("release"),
+        F.expr(f"(cast(block + 1 as decimal(18, 0)) * {times} + {share} - 1) div {share}").alias("deadline"),
+        F.col("_slot").alias("slot"),
         F.pmod("_rank", F.lit(block)).cast("int").alias("place"),
     )
 
 
 def schedule_rows(df: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per input row: doc_id, source, weight, block, release, deadline, slot, place (in its block).
+    """One row per input row: doc_id, source, weight (in the cycle), block, release, deadline, slot, place (in its block).
 
     Ordering by slot and place gives the mixture. Sources that weights doesn't name get the least weight named; names that
     df lacks are ignored. A null source is a source like any other. Repeated rows have places of their own. An empty table
@@ -135,20 +180,20 @@ def schedule_rows(df: DataFrame, weights: dict[str | None, float] | None = None,
     """
     slim = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _key(F.col(source_col)).alias("_key"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_hash"))
     slim = written(slim, "sources")
-    by, rows = _weights(slim, "source", weights)
-    if not rows:
-        by = {"null": 1.0}
-    return _placed(slim, ["_hash", "doc_id"], by, rows, block).drop("_key", "_hash")
+    by, sizes = _weights(slim, "source", weights)
+    if not sizes:
+        by, sizes = {"null": 1.0}, {"null": 0}
+    return _placed(slim, ["_hash", "doc_id"], by, sizes, block).drop("_key", "_hash")
 
 
 def mixed_rows(df: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """df's rows, with all columns and in the order of the mixture. df must give the same rows each time it is read."""
-    by, rows = _weights(df, source_col, weights)
-    if not rows:
+    by, sizes = _weights(df, source_col, weights)
+    if not sizes:
         return df
     h = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
     full = df.select(F.struct("*").alias("_all"), _key(F.col(source_col)).alias("_key"), h.alias("_hash"))
-    return _placed(full, ["_hash"], by, rows, block).orderBy("slot", "place").select("_all.*")
+    return _placed(full, ["_hash"], by, sizes, block).orderBy("slot", "place").select("_all.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,30 @@ def test_query_is_whole(spark):
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count() == got.select("slot", "place").distinct().count()
     text = got._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def furthest(weights, blocks):
+    """The largest deviation from the target weights, in blocks, while all sources last."""
+    w = [x_ / sum(weights) for x_ in weights]
+    had, most = [0] * len(w), 0.0
+    for slot, i, _ in x.turns(x.cycle(weights, blocks), blocks):
+        had[i] += 1
+        most = max(most, *(abs(h - v * (slot + 1)) for h, v in zip(had, w, strict=True)))
+        if had[i] == blocks[i]:
+            return most
+
+
+def test_deviation_from_the_target_over_long_schedules():
+    for sizes in ([2_000_000, *[200_000] * 20], [10_000_000, 400, 300, 90]):
+        weights = [n**0.5 for n in sizes]
+        assert furthest(weights, [-(-n // 32) for n in sizes]) < 1 + x.DRIFT
+    assert furthest([0.0007, 0.9993], [200, 280_000]) < 1 + x.DRIFT
+
+
+def test_long_plans_and_tiny_weights(spark, monkeypatch):
+    df = frame(spark)
+    few = {(r.doc_id, r.slot, r.place, r.weight) for r in x.schedule_rows(df, {"a": 1e-9}, block=4).collect()}
+    monkeypatch.setattr(x, "PLAN_ROWS", 50)
+    rows = x.schedule_rows(df, {"a": 1e-9, "b": 1.0}, block=4).collect()
+    assert len(rows) == df.count() == len({(r.slot, r.place) for r in rows}) and all(r.release <= r.slot < r.deadline for r in rows)
+    assert {(r.doc_id, r.slot, r.place, r.weight) for r in x.schedule_rows(df, {"a": 1e-9}, block=4).collect()} == few

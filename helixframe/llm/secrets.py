@@ -6,8 +6,8 @@
    step; their running sums give offsets.
 2. A scope is a paragraph, and in it a reach of REACH characters. An interval join by scope and bucket of REACH characters
    finds identifiers, secrets and endpoints whose starts are within reach of each other. A weak candidate is reported only
-   if a complementary part is in reach: a login with a secret, a base64 key with an identifier, an endpoint with an
-   identifier or a named secret.
+   if a complementary part is in reach: a login with a secret of any kind, a base64 key with an identifier, an endpoint
+   with an identifier or a named secret (not a hex run alone, as links don't join these two either).
 
 A bucket holds few parts, as parts don't overlap much, so the join grows with the text and not with its square.
 """
@@ -35,7 +35,7 @@ PATTERNS = {
     "key": r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",
 }
 #: Which kinds may report a weak one.
-PARTNERS = {"login": ("assign", "key"), "endpoint": ("access", "login", "assign"), "key": ("access", "login")}
+PARTNERS = {"login": ("assign", "hex", "key"), "endpoint": ("access", "login", "assign"), "key": ("access", "login")}
 _FOUND = "array<struct<kind: int, gap: int, blanks: int, size: int, good: boolean>>"
 
 

@@ -66,3 +66,16 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(w.startswith(k) for w in want) for k in x.KINDS[:3]]
         assert set(want) <= set(r.spans.split(",")) | {""}
+
+
+def test_every_linked_login_is_reported(spark):
+    far = "\n\nuser: bob1 alone, https://db.example.com beside " + "0f" * 32
+    df = spark.createDataFrame([(1, "client_id: abc " + "0f" * 32 + far)], "doc_id long, text string")
+    (r,) = x.find_secrets(df).collect()
+    assert [s.kind for s in r.spans] == ["login", "hex", "login", "endpoint", "hex"] and r.credentials == 2
+    df = spark.createDataFrame([(2, "https://db.example.com beside " + "0f" * 32)], "doc_id long, text string")
+    assert [[s.kind for s in r.spans] for r in x.find_secrets(df).collect()] == [["hex"]]
+    p = x.parts(x.scanned(spark.createDataFrame([(i, text_of(random.Random(i))) for i in range(100)], "doc_id long, text string")))
+    linked = x.credentials(p).select("row", "id_kind", "id_start").distinct()
+    told = x.reported(p).selectExpr("row", "kind as id_kind", "start as id_start")
+    assert linked.count() > 0 and linked.subtract(told).count() == 0

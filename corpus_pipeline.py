@@ -3,17 +3,24 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which is a written table. All but the last return
 the columns of docs. Language identification drops documents that have no language, that is null texts and texts without
 a letter. Exact deduplication keeps the row with the largest id of each text, near-deduplication the one with the smallest
-of each component. Mixing keeps all rows and orders them. Packing returns a row per piece with its sequence and offset.
+of each component. Mixing keeps all rows and orders them. Packing returns a row per piece with its sequence and offset; it packs the pieces of
+WINDOW consecutive blocks of the mixture's schedule together, found from the rows and not from their order in files, so
+sequence ids follow the mixture.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, langid, mixing, packing, simhash
 from helixframe.llm.common import written
 
 
+#: Target weights of sources, None for the default, and blocks of the schedule whose pieces are packed together.
+MIXTURE, WINDOW = None, 256
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted_rows(docs, langid.default_vocabulary())
 
@@ -27,11 +34,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_rows(docs)
+    return mixing.mixed_rows(docs, MIXTURE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs)
+    source = mixing.keyed(docs).withColumn("_row", F.monotonically_increasing_id())
+    made = written(packing.pieces(source, packing.default_tokenizer(), carry=("_row", "_key", "_hash")), "pieces")
+    turn = mixing.turned(made.where("piece = 0").select("_row", "_key", "_hash"), MIXTURE)
+    window = turn.select("_row", F.expr(f"_turn div {WINDOW}").alias("_window"))
+    return packing.pack_windows(made.join(window, "_row").drop("_row", "_key", "_hash"))
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_near_dedup", near), ("mixing", mix), ("packing", pack)]

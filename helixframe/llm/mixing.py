@@ -138,9 +138,9 @@ def plan(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int])
     return table, (F.broadcast(sources) if len(names) <= PLAN_ROWS else sources), sum(own)
 
 
-def _weights(df: DataFrame, source_col: str, weights: dict[str | None, float] | None) -> tuple[dict[str, float], dict[str, int]]:
+def _weights(df: DataFrame, key: Column, weights: dict[str | None, float] | None) -> tuple[dict[str, float], dict[str, int]]:
     """Weights and sizes of the sources that df has, by key."""
-    sizes = df.groupBy(_key(F.col(source_col)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
     got = {r["k"]: r["n"] for r in sizes.orderBy(F.desc("n"), "k").limit(SOURCES + 1).collect()}
     if len(got) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
@@ -152,7 +152,8 @@ def _weights(df: DataFrame, source_col: str, weights: dict[str | None, float] |
 
 
 def _placed(df: DataFrame, order: list[str], weights: dict[str, float], sizes: dict[str, int], block: int) -> DataFrame:
-    """df, whose column _key names the source, with weight, block, release, deadline, slot and place."""
+    """df, whose column _key names the source, with weight, block, release, deadline, slot, place and _turn, the
+    block's number in the order that blocks run."""
     table, sources, slots = plan(df.sparkSession, weights, {k: -(-n // block) for k, n in sizes.items()})
     r = ranked(df, ["_key"], order, sum(sizes.values()), "_rank")
     r = r.join(sources, F.col("_key") == F.col("_source"))
@@ -168,6 +169,7 @@ def _placed(df: DataFrame, order: list[str], weights: dict[str, float], sizes: d
         F.expr(f"(cast(block + 1 as decimal(18, 0)) * {times} + {share} - 1) div {share}").alias("deadline"),
         F.col("_slot").alias("slot"),
         F.pmod("_rank", F.lit(block)).cast("int").alias("place"),
+        "_turn",
     )
 
 
@@ -180,19 +182,35 @@ def schedule_rows(df: DataFrame, weights: dict[str | None, float] | None = None,
     """
     slim = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _key(F.col(source_col)).alias("_key"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_hash"))
     slim = written(slim, "sources")
-    by, sizes = _weights(slim, "source", weights)
+    by, sizes = _weights(slim, F.col("_key"), weights)
     if not sizes:
         by, sizes = {"null": 1.0}, {"null": 0}
-    return _placed(slim, ["_hash", "doc_id"], by, sizes, block).drop("_key", "_hash")
+    return _placed(slim, ["_hash", "doc_id"], by, sizes, block).drop("_key", "_hash", "_turn")
+
+
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def keyed(df: DataFrame, source_col: str = "source") -> DataFrame:
+    """df with _key and _hash, from which turned() finds the places that mixed_rows gives to df's rows."""
+    return df.withColumns({"_key": _key(F.col(source_col)), "_hash": _row_hash(df)})
+
+
+def turned(rows: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """Adds _turn, the number of the row's block in the order of the mixture, to a written table with _key and _hash."""
+    by, sizes = _weights(rows, F.col("_key"), weights)
+    if not sizes:
+        by, sizes = {"null": 1.0}, {"null": 0}
+    return _placed(rows, ["_hash"], by, sizes, block).select(*rows.columns, "_turn")
 
 
 def mixed_rows(df: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """df's rows, with all columns and in the order of the mixture. df must give the same rows each time it is read."""
-    by, sizes = _weights(df, source_col, weights)
+    by, sizes = _weights(df, _key(F.col(source_col)), weights)
     if not sizes:
         return df
-    h = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
-    full = df.select(F.struct("*").alias("_all"), _key(F.col(source_col)).alias("_key"), h.alias("_hash"))
+    full = df.select(F.struct("*").alias("_all"), _key(F.col(source_col)).alias("_key"), _row_hash(df).alias("_hash"))
     return _placed(full, ["_hash"], by, sizes, block).orderBy("slot", "place").select("_all.*")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import ranked, small_batches, tidy, written
+from helixframe.llm.common import gathered, give_back, ranked, small_batches, tidy, written
 
 CAPACITY = 2048
 #: Token that ends each document.
@@ -127,10 +127,10 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _held[path]
 
 
-def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, and ids if asked) for each row: its text's ids and END, cut at capacity.
 
-    A null or empty text is the one token END. Other columns aren't returned.
+    A null or empty text is the one token END. Of other columns those in carry are returned, last.
     """
     size = 4 * capacity
     end = np.asarray([END], "<u4").tobytes()
@@ -173,12 +173,16 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         flat = pa.array(np.frombuffer(b"".join(cols[5]), "<u4").astype(np.int32))
                         arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cols[3]]), pa.int32()), flat))
                         names.append("ids")
+                    arrays += [b.column(2 + k).take(pa.array(cols[0], pa.int64())) for k in range(len(carry))]
+                    names += carry
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
                     rows, held = [], 0
 
-    source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))])
-    return small_batches(source).mapInArrow(tidy(run), schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema)
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    return small_batches(source).mapInArrow(tidy(run), T.StructType([*schema, *(source.schema[c] for c in carry)]))
 
 
 def patterns(bins: int, parts: int = PARTS) -> list[tuple[int, ...]]:
@@ -312,14 +316,48 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return r.join(table, on).withColumn("sequence_id", F.col("_rank") + F.col("_shift")).select(*made.columns, "sequence_id", "offset")
 
 
+def pack_windows(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """As pack, for a table with _window, a long: each window's pieces are packed by themselves, in one task, and windows'
+    sequences follow each other in the order of windows. Within a window sequences are in a fixed shuffle, so that lengths
+    don't order them. A window must fit in a task."""
+    columns = [c for c in made.columns if c != "_window"]
+
+    def placed(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("length", "ids_crc32", "doc_id", "piece")])
+        lengths, first, times = np.unique(np.asarray(table["length"]), return_index=True, return_counts=True)
+        at = dict(zip(lengths.tolist(), first.tolist(), strict=True))
+        sequence, offsets, base = np.empty(len(table), np.int64), np.empty(len(table), np.int64), 0
+        for parts, n in plan(dict(zip(lengths.tolist(), times.tolist(), strict=True)), capacity):
+            offset = 0
+            for x in parts:
+                sequence[at[x] : at[x] + n], offsets[at[x] : at[x] + n] = np.arange(base, base + n), offset
+                at[x] += n
+                offset += x
+            base += n
+        sequence = np.random.default_rng(0).permutation(base)[sequence]
+        give_back()
+        return table.append_column("_sequence", pa.array(sequence)).append_column("offset", pa.array(offsets))
+
+    schema = T.StructType([*made.schema, T.StructField("_sequence", T.LongType()), T.StructField("offset", T.LongType())])
+    done = written(gathered(made.groupBy("_window").applyInArrow(placed, schema)), "packed")
+    sizes = {r["_window"]: r["n"] for r in done.groupBy("_window").agg((F.max("_sequence") + 1).alias("n")).collect()}
+    order = sorted(sizes)
+    starts = np.cumsum([0, *(sizes[w] for w in order)]).tolist()
+    table = made.sparkSession.createDataFrame(list(zip(order, starts, strict=False)), "_of long, _start long")
+    r = done.join(F.broadcast(table) if len(order) <= PLAN_ROWS else table, F.col("_window") == F.col("_of"))
+    return r.withColumn("sequence_id", F.col("_start") + F.col("_sequence")).select(*columns, "sequence_id", "offset")
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Pieces of the documents with their places, under the public word vocabulary unless another path is given."""
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return pack(written(pieces(docs, tokenizer), "pieces"))
+    return pack(written(pieces(docs, tokenizer or default_tokenizer()), "pieces"))

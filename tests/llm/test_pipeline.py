@@ -53,3 +53,19 @@ def test_stages(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_sequences_follow_the_mixture(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    monkeypatch.setattr(corpus_pipeline, "WINDOW", 4, raising=False)
+    favoured, found = sorted(set(source.values()))[:2], []
+    for name in favoured:
+        monkeypatch.setattr(corpus_pipeline, "MIXTURE", dict.fromkeys(source.values(), 1.0) | {name: 20.0}, raising=False)
+        rows = corpus_pipeline.STAGES[4][1](spark, docs.orderBy("doc_id"), "").collect()
+        mean = lambda ids: sum(ids) / len(ids)
+        assert mean([r.sequence_id for r in rows if source[r.doc_id] == name]) < 0.6 * mean([r.sequence_id for r in rows])
+        ids = {r.sequence_id for r in rows}
+        assert ids == set(range(len(ids))) and len(ids) <= 1.05 * sum(r.length for r in rows) / 2048 + 1
+        found.append(sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows))
+    assert found[0] == found[1]

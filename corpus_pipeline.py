@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which is a written table. All but the last return
 the columns of docs. Language identification drops documents that have no language, that is null texts and texts without
 a letter. Exact deduplication keeps the row with the largest id of each text, near-deduplication the one with the smallest
-of each component. Mixing keeps all rows and orders them. Packing returns a row per piece with its sequence and offset; it packs the pieces of
+of each component. Components are op10's (3-word shingles, 2 of 64 bits), which catches few of the pairs at a Jaccard
+similarity of 0.8 or more of five-word shingles: 1 of 48 at sf0.1; the others stay in the corpus. Mixing keeps all rows and orders them. Packing returns a row per piece with its sequence and offset; it packs the pieces of
 WINDOW consecutive blocks of the mixture's schedule together, found from the rows and not from their order in files, so
 sequence ids follow the mixture.
 """

@@ -42,16 +42,16 @@ _FOUND = "array<struct<kind: int, gap: int, blanks: int, size: int, good: boolea
 def _found(text: Column, kind: str, worth: Column) -> Column:
     """For each match: the gap before it, blank lines in the gap, its length, and whether it counts."""
     pattern = F.lit(PATTERNS[kind])
-    gaps = F.split(text, PATTERNS[kind], -1)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
 
-    def one(m: Column, i: Column) -> Column:
-        gap = F.get(gaps, i)
+    def one(gap: Column, m: Column) -> Column:
         blanks = (F.length(gap) - F.length(F.replace(gap, F.lit("\n\n"), F.lit("")))) / 2
         good = F.length(F.regexp_extract(m, PATTERNS["assign"], 1)) >= LEAST if kind == "assign" else F.lit(True)
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.length(gap).alias("gap"), blanks.cast("int").alias("blanks"), F.length(m).alias("size"), good.alias("good"))
 
-    return F.when(worth & F.regexp_like(text, pattern), F.transform(matches, one)).otherwise(F.array().cast(_FOUND))
+    # both arrays are made once for a text; inside a lambda they would be made again for each match
+    each = F.zip_with(F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, pattern, F.lit(0)), one)
+    found = F.filter(each, lambda x: x["size"].isNotNull())  # the last gap has no match after it
+    return F.when(worth & F.regexp_like(text, pattern), found).otherwise(F.array().cast(_FOUND))
 
 
 def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

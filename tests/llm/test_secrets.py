@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from helixframe.llm import secrets as x
 
@@ -79,3 +80,18 @@ def test_every_linked_login_is_reported(spark):
     linked = x.credentials(p).select("row", "id_kind", "id_start").distinct()
     told = x.reported(p).selectExpr("row", "kind as id_kind", "start as id_start")
     assert linked.count() > 0 and linked.subtract(told).count() == 0
+
+
+def test_work_grows_with_matches_and_not_their_square(spark):
+    def took(n):
+        text = "".join(f"commit {i:040x}\n" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.monotonic()
+        (r,) = x.scanned(df).selectExpr("size(found) as n").collect()
+        assert r.n == n
+        return time.monotonic() - began
+
+    took(100)
+    assert took(100_000) < 30  # the square of 2,000 took as long
+    (r,) = x.find_secrets(spark.createDataFrame([(1, "deadbeefdeadbeef\n" * 100_000)], "doc_id long, text string")).selectExpr("size(spans) as n", "spans[99999].start as last").collect()
+    assert (r.n, r["last"]) == (100_000, 17 * 99_999)

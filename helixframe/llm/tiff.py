@@ -2,11 +2,17 @@
 
 The decoder walks the chain of image directories in either byte order, decodes strips or tiles stored plain or by
 PackBits, LZW or deflate, undoes horizontal and floating-point predictors, joins separate planes, and gives the samples
-of each page row by row. It reads whole-byte samples and bilevel pages.
+of each page row by row. It reads whole-byte samples and bilevel pages. Fields are checked for type and sizes against the
+strips or tiles that are there before memory is taken, so a damaged file gives an error and no more.
+
+The writer stores a payload under one of LAYOUTS, which its checksum picks: equal payloads give equal files, and a corpus
+goes through every codec, in strips and in tiles.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from helixframe.llm.common import small_batches, tidy
 
@@ -27,8 +34,15 @@ TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_SIZE, FORMAT, FILL = 322, 323, 324, 325,
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 #: Fixed sizes and letters of field types 1 to 12.
 _KINDS = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d")}
-#: Samples per row, and rows per strip, of what the writer makes.
-ROW, STRIP_ROWS = 64, 1024
+#: Fixed bounds of what one byte of a codec's data can become.
+_MOST = {PLAIN: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
+#: Bytes of samples in a page; a binary value can't hold more.
+MOST_BYTES = (1 << 31) - 1
+#: Samples per row, and rows per strip, of what the writer makes, and its tiles' width and height.
+ROW, STRIP_ROWS, TILE = 64, 1024, (32, 64)
+#: (compression, in tiles?) of which a payload's checksum picks one; most are deflate in strips, as that is the smallest.
+LAYOUTS = ((LZW, False), (LZW, True), (PACKBITS, False), (PACKBITS, True), (PLAIN, False), (PLAIN, True), (DEFLATE, True), *[(DEFLATE, False)] * 9)
+_RUN = re.compile(rb"(?s)(.)\1{2,127}")
 #: A worker hands its rows on when their samples reach so many bytes.
 BATCH = 8 << 20
 
@@ -77,7 +91,7 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
         else:
             raise TiffError("an LZW code out of order")
         out += entry
-        if last:
+        if last and len(table) < 4096:  # a code can't name more entries
             table.append(last + entry[:1])
         last = entry
         if len(table) + 1 >= 1 << width and width < 12:
@@ -87,6 +101,59 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def pack_bits(data: bytes) -> bytes:
+    """PackBits of one row: runs of three and more equal bytes as repeats, the rest as literals."""
+    out, at = bytearray(), 0
+
+    def literal(end: int) -> None:
+        for i in range(at, end, 128):
+            part = data[i : min(i + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in _RUN.finditer(data):
+        literal(m.start())
+        out += bytes((257 - len(m[0]), m[0][0]))
+        at = m.end()
+    literal(len(data))
+    return bytes(out)
+
+
+def pack_lzw(data: bytes) -> bytes:
+    """What unpack_lzw reads; the table is cleared before its codes need more than 12 bits."""
+    out, bits, held = bytearray(), 256, 9  # begins with a clear code
+    table: dict[int, int] = {}
+    width, free, prefix = 9, 258, -1
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+            continue
+        key = prefix << 8 | byte
+        known = table.get(key)
+        if known is not None:
+            prefix = known
+            continue
+        bits, held = bits << width | prefix, held + width
+        table[key] = free
+        free += 1
+        if free == 4094:
+            bits, held = bits << width | 256, held + width
+            table, width, free = {}, 9, 258
+        elif free == 1 << width:
+            width += 1
+        if held >= 64:
+            held -= 64
+            out += (bits >> held).to_bytes(8, "big")
+            bits &= (1 << held) - 1
+        prefix = byte
+    if prefix >= 0:
+        bits, held, free = bits << width | prefix, held + width, free + 1
+        width += free == 1 << width
+    bits, held = bits << width | 257, held + width
+    pad = -held % 8
+    return bytes(out) + (bits << pad).to_bytes((held + pad) // 8, "big")
+
+
 def _decompress(data: bytes, how: int, size: int) -> bytes:
     if how == PLAIN:
         out = data
@@ -150,30 +217,41 @@ class _Reader:
             at = self.number(at + 2 + 12 * n, "I")
 
     def page(self, tags: dict[int, tuple]) -> Page:
+        def every(tag: int) -> tuple[int, ...]:
+            values = tags.get(tag, ())
+            if not all(isinstance(v, int) and v >= 0 for v in values):
+                raise TiffError(f"tag {tag} isn't a whole number")
+            return values
+
         def one(tag: int, default: int | None = None) -> int:
-            if tag in tags and tags[tag]:
-                return tags[tag][0]
+            if values := every(tag):
+                return values[0]
             if default is None:
                 raise TiffError(f"tag {tag} is missing")
             return default
 
         width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
         bits, how, predictor = one(BITS, 1), one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-        if not width or not height or not samples or len(set(tags.get(BITS, (bits,)))) != 1 or bits not in (1, 8, 16, 32, 64) or (bits == 1 and predictor != 1):
+        if not width or not height or not samples or len(set(every(BITS) or (bits,))) != 1 or bits not in (1, 8, 16, 32, 64) or (bits == 1 and predictor != 1):
             raise TiffError("sizes or sample depths aren't supported")
+        if how not in _MOST:
+            raise TiffError(f"compression {how} isn't supported")
         planes = samples if one(PLANES, 1) == 2 else 1
         each = samples // planes
         tiled = TILE_AT in tags
         w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-        if not w or not h:
-            raise TiffError("a tile or strip has no size")
-        ats, sizes = (tags.get(TILE_AT, ()), tags.get(TILE_SIZE, ())) if tiled else (tags.get(STRIP_AT, ()), tags.get(STRIP_SIZE, ()))
+        if not w or not h or (tiled and w * each * bits % 8):
+            raise TiffError("tiles or strips have a size that isn't supported")
+        ats, sizes = (every(TILE_AT), every(TILE_SIZE)) if tiled else (every(STRIP_AT), every(STRIP_SIZE))
         across, down = -(-width // w), -(-height // h)
-        if len(ats) < across * down * planes or len(sizes) < len(ats):
+        needed = across * down * planes
+        if len(ats) < needed or len(sizes) < len(ats):
             raise TiffError("strips or tiles are missing")
-        stride = (w * each * bits + 7) // 8
-        unit = bits // 8 or 1
         columns = (width * each * bits + 7) // 8
+        stored = (w * each * bits + 7) // 8 * (h * across * down if tiled else height) * planes
+        if max(stored, planes * height * columns) > MOST_BYTES or stored > _MOST[how] * sum(sizes[:needed]):
+            raise TiffError("the page is larger than its strips or tiles can be")
+        stride = (w * each * bits + 7) // 8
         whole = np.zeros((planes, height, columns), np.uint8)
         for plane in range(planes):
             for i in range(across * down):
@@ -188,8 +266,11 @@ class _Reader:
                 left = x * each * bits // 8
                 part = block[: height - y, : columns - left]
                 whole[plane, y : y + len(part), left : left + part.shape[1]] = part
-        if planes > 1:
-            whole = np.moveaxis(whole.reshape(planes, height, width, unit), 0, 2)
+        if planes > 1 and bits == 1:
+            dots = np.unpackbits(whole, axis=2, count=width)
+            whole = np.packbits(np.moveaxis(dots, 0, 2).reshape(height, -1), axis=1)
+        elif planes > 1:
+            whole = np.moveaxis(whole.reshape(planes, height, width, bits // 8), 0, 2)
         return Page(width, height, samples, bits, how, predictor, np.ascontiguousarray(whole).tobytes())
 
     def _undo(self, block: np.ndarray, predictor: int, bits: int, each: int, w: int) -> np.ndarray:
@@ -213,18 +294,43 @@ def pages(data: bytes) -> Iterator[Page]:
         yield r.page(tags)
 
 
-def encode(payload: bytes, row: int = ROW, strip_rows: int = STRIP_ROWS) -> bytes:
-    """A grey page of 8-bit samples, in deflate strips with the horizontal predictor; payload is whole rows."""
+def layout(payload: bytes) -> tuple[int, bool]:
+    """The payload's own one of LAYOUTS."""
+    return LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
+
+
+def _stored(block: np.ndarray, how: int) -> bytes:
+    """A strip's or tile's data; LZW and deflate get differences along rows."""
+    if how == PLAIN:
+        return block.tobytes()
+    if how == PACKBITS:
+        return b"".join(pack_bits(r.tobytes()) for r in block)
+    changes = block.copy()
+    changes[:, 1:] -= block[:, :-1]
+    return pack_lzw(changes.tobytes()) if how == LZW else zlib.compress(changes.tobytes(), 6)
+
+
+def encode(payload: bytes, row: int = ROW, strip_rows: int = STRIP_ROWS, stored: tuple[int, bool] | None = None) -> bytes:
+    """A grey page of 8-bit samples of whole rows, under the given (compression, in tiles?) or the payload's own."""
+    how, tiled = stored or layout(payload)
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, row)
+    w, h = TILE if tiled else (row, strip_rows)
     out, ats, sizes = bytearray(b"II*\0\0\0\0\0"), [], []
-    for y in range(0, len(pixels), strip_rows):
-        part = pixels[y : y + strip_rows].copy()
-        part[:, 1:] -= pixels[y : y + strip_rows, :-1]
-        data = zlib.compress(part.tobytes(), 6)
-        ats.append(len(out))
-        sizes.append(len(data))
-        out += data + b"\0" * (len(data) % 2)
-    fields = [(WIDTH, 4, [row]), (HEIGHT, 4, [len(pixels)]), (BITS, 3, [8]), (COMPRESSION, 3, [DEFLATE]), (PHOTOMETRIC, 3, [1]), (STRIP_AT, 4, ats), (SAMPLES, 3, [1]), (ROWS_PER_STRIP, 4, [strip_rows]), (STRIP_SIZE, 4, sizes), (PREDICTOR, 3, [2])]
+    for y in range(0, len(pixels), h):
+        for x in range(0, row, w):
+            block = pixels[y : y + h, x : x + w]
+            if tiled:
+                block = np.pad(block, ((0, h - block.shape[0]), (0, w - block.shape[1])))
+            data = _stored(block, how)
+            ats.append(len(out))
+            sizes.append(len(data))
+            out += data + b"\0" * (len(data) % 2)
+    fields = [(WIDTH, 4, [row]), (HEIGHT, 4, [len(pixels)]), (BITS, 3, [8]), (COMPRESSION, 3, [how]), (PHOTOMETRIC, 3, [1])]
+    fields += [] if tiled else [(STRIP_AT, 4, ats)]
+    fields += [(SAMPLES, 3, [1])]
+    fields += [] if tiled else [(ROWS_PER_STRIP, 4, [strip_rows]), (STRIP_SIZE, 4, sizes)]
+    fields += [(PREDICTOR, 3, [2])] if how in (LZW, DEFLATE) else []
+    fields += [(TILE_WIDTH, 4, [w]), (TILE_HEIGHT, 4, [h]), (TILE_AT, 4, ats), (TILE_SIZE, 4, sizes)] if tiled else []
     entries = b""
     for tag, kind, values in fields:
         data = struct.pack(f"<{len(values)}{_KINDS[kind][1]}", *values)
@@ -253,7 +359,9 @@ def feature(page: Page) -> str:
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media) per row: the whole text in UTF-8, filled with zero bytes to a positive multiple of ROW, as
-    a one-page file. Null is empty."""
+    a one-page file. Null is empty; repeated rows give a file each; an empty table gives an empty result. A text of any
+    length is one file, up to the four gigabytes that a file can have. Other columns aren't returned and may have any
+    name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,31 +386,47 @@ def decode_pages(df: DataFrame, media: Column | str = "media", keep: tuple[str,
     """One row per page with the keep columns, page (from 0), sizes, compression, predictor, feature, pixels and error.
 
     Media that can't be decoded give one row with the error, after the pages before it, with no pixels. Null media give
-    none. The keep columns may have any names but those of the page.
+    none, as does a file without directories; an empty table gives an empty result. Repeated rows are decoded each. A page
+    column whose name a keep column has, in any case of letters, gets as many underscores at its end as it needs.
     """
+    taken = {k.lower() for k in keep}
+    fields = [(next(n for n in (x + "_" * i for i in itertools.count()) if n.lower() not in taken), t) for x, t in _PAGE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             held = 0
+
+            def made(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+                cols = list(zip(*rows, strict=True))
+                kept = [b.column(k + 1).take(pa.array(cols[0], pa.int64())) for k in range(len(keep))]
+                return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, (_, t) in zip(cols[1:], fields, strict=True))], names=[*keep, *(x for x, _ in fields)])
+
             for i, m in enumerate(b.column(0)):
-                n, data = 0, m.as_py()
-                if data is not None:
-                    try:
-                        for n, p in enumerate(pages(data), 1):
-                            rows.append((i, n - 1, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, feature(p), p.pixels, None))
-                            held += len(p.pixels)
-                    except (TiffError, struct.error) as e:
-                        rows.append((i, n, *[None] * 8, str(e)))
-                if rows and (held > BATCH or i + 1 == b.num_rows):
-                    cols = list(zip(*rows, strict=True))
-                    kept = [b.column(k + 1).take(pa.array(cols[0], pa.int64())) for k in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, (_, t) in zip(cols[1:], _PAGE, strict=True))], names=[*keep, *(x for x, _ in _PAGE)])
-                    rows, held = [], 0
+                for row in _rows(m.as_py()):
+                    rows.append((i, *row))
+                    held += len(row[-2] or b"")
+                    if held > BATCH:
+                        yield made(b, rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(b, rows)
 
     source = df.select(F.col(media).alias("_media") if isinstance(media, str) else media.alias("_media"), *keep)
-    kinds = T.StructType.fromDDL("page int, width long, height long, samples int, bits int, compression int, predictor int, feature string, pixels binary, error string")
-    return small_batches(source).mapInArrow(tidy(run), T.StructType([*(source.schema[k] for k in keep), *kinds]))
+    kinds = [T.StructField(n, from_arrow_type(t)) for n, t in fields]
+    return small_batches(source).mapInArrow(tidy(run), T.StructType([*(source.schema[1 + k] for k in range(len(keep))), *kinds]))
+
+
+def _rows(data: bytes | None) -> Iterator[tuple]:
+    """Values of _PAGE for each page, and for what ends the file before its time."""
+    n = 0
+    if data is None:
+        return
+    try:
+        for n, p in enumerate(pages(data), 1):
+            yield n - 1, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, feature(p), p.pixels, None
+    except Exception as e:  # whatever a file's bytes lead to is that file's error, not the job's
+        yield n, *[None] * 8, f"{type(e).__name__}: {e}"
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 import struct
 import zlib
@@ -181,3 +183,61 @@ def test_query(spark, tmp_path):
         assert r.feature.startswith(f"64x{len(full) // 64}x1:")
     spark.createDataFrame([], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert x.op4(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("stored", sorted(set(x.LAYOUTS)))
+def test_every_layout(stored):
+    rng = random.Random(5)
+    for data in (b"\0" * 64, bytes(rng.randrange(97, 123) for _ in range(64 * 70)), rng.randbytes(64 * 3), b"ab" * 32 * 2100, b"words and words " * 4 * 5000):
+        file = x.encode(data, stored=stored)
+        (p,) = x.pages(file)
+        assert p.pixels == data and p.compression == stored[0] and file == x.encode(data, stored=stored)
+        assert len(data) < 64 * 4000 or stored[0] == x.PLAIN or len(file) < len(data) * 1.05
+    picked = {x.layout(rng.randbytes(64)) for _ in range(1000)}
+    assert picked == set(x.LAYOUTS)
+
+
+def test_feature_by_hand():
+    for data in (b"\0" * 64, bytes(range(64)), random.Random(2).randbytes(640), b"aab" * 64):
+        (p,) = x.pages(x.encode(data))
+        n = len(data)
+        mean = sum(data) / n
+        spread = (sum((c - mean) ** 2 for c in data) / n) ** 0.5
+        entropy = sum(-data.count(c) / n * math.log2(data.count(c) / n) for c in set(data))
+        size, *got = x.feature(p).split(":")
+        assert size == f"64x{n // 64}x1"
+        for g, w in zip(got, (mean, spread, entropy), strict=True):
+            assert abs(float(g) - w) <= 0.5001e-4
+
+
+def test_bilevel_planes():
+    a = np.random.default_rng(3).integers(0, 2, (5, 13, 2))
+    (p,) = x.pages(make([{"a": a, "bits": 1, "how": 1, "planar": True, "rows": 2}]))
+    assert p.pixels == np.packbits(a.reshape(5, 26), axis=1).tobytes()
+
+
+def test_mutated_files_give_error_rows(spark):
+    rng = random.Random(11)
+    good = [x.encode(bytes(rng.randrange(97, 100) for _ in range(64 * 9)), stored=s) for s in sorted(set(x.LAYOUTS))]
+    a = np.random.default_rng(1).integers(0, 200, (9, 20, 3))
+    good += [make([{"a": a, "bits": b, "how": h, "pred": 2, "planar": q, "tile": t, "rows": 4}] * 2, o) for b in (8, 16) for h in (1, 5, 8) for q in (False, True) for t in (None, (16, 16)) for o in "<>"]
+    errors = 0
+    for _ in range(20_000):
+        data = bytearray(rng.choice(good))
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(max(0, len(data) - 300), len(data)) if rng.random() < 0.8 else rng.randrange(len(data))
+            data[at] = rng.choice((0, 1, 2, 5, 11, 12, 255, rng.randrange(256)))
+        if rng.random() < 0.1:
+            del data[rng.randrange(len(data)) :]
+        rows = list(itertools.islice(x._rows(bytes(data)), 10))  # raises for nothing but an error of the test
+        errors += rows[-1][-1] is not None if rows else 0
+        assert all(r[-2] is not None or r[-1] for r in rows)
+    assert errors > 2000
+    huge = make([{"a": a, "bits": 8, "how": 1}])
+    for tag, why in ((256, "larger"), (257, "missing")):
+        at = huge.index(struct.pack("<H", tag), len(huge) - 150)
+        bad = huge[: at + 2] + struct.pack("<HII", 4, 1, 1 << 31) + huge[at + 12 :]
+        assert why in next(x._rows(bad))[-1]
+    df = spark.createDataFrame([(1, huge), (2, bad), (3, huge[:50]), (3, huge[:50])], "width long, media binary")
+    rows = x.decode_pages(df, keep=("width",)).collect()
+    assert sorted((r.width, r.width_, r.error is None) for r in rows if r.width_) == [(1, 20, True)] and sum(r.error is not None for r in rows) == 3

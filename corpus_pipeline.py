@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, langid, mixing, packing, simhash
-from helixframe.llm.common import written
+from helixframe.llm.common import made_so_far, settled, written
 
 
 #: Target weights of sources, None for the default, and blocks of the schedule whose pieces are packed together.
@@ -23,22 +23,30 @@ MIXTURE, WINDOW = None, 256
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text isn't null and has a letter; the smallest id may be null, and repeated rows all stay. An empty table
+    stays empty."""
     return langid.accepted_rows(docs, langid.default_vocabulary())
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays; null texts count as empty, null ids as smallest, and of rows equal
+    in both one stays. An empty table stays empty."""
     return exact_dedup.kept_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the row with the smallest id stays, null as smallest of all; null texts count as empty, and texts
+    without words are one component. An empty table stays empty."""
     return simhash.kept_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of the mixture; a null source is one of its own. An empty table stays empty."""
     return mixing.mixed_rows(docs, MIXTURE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece with its place; a null or empty text is one token. An empty table gives no rows."""
     source = mixing.keyed(docs).withColumn("_row", F.monotonically_increasing_id())
     made = written(packing.pieces(source, packing.default_tokenizer(), carry=("_row", "_key", "_hash")), "pieces")
     turn = mixing.turned(made.where("piece = 0").select("_row", "_key", "_hash"), MIXTURE)
@@ -55,6 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of sf_dir; each earlier stage is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = made_so_far()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(stage(spark, docs, sf_dir), name, mark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,28 +15,76 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_made = threading.local()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share; a temporary folder only where none is set, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/helixframe"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all machines share; a temporary folder only where none is set and the session runs
+    on this machine alone, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        top = f"file://{tempfile.gettempdir()}/helixframe"
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.paths = [*getattr(_made, "paths", []), path]
+    return path
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """The folder is removed when the driver ends, as a table made from it may be read until then."""
+    fs, at = _folder(spark, path)
+    fs.deleteOnExit(at)
+
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
 
-#: Files of a table written after a shuffle, at most, for each core of the cluster.
-FILES_PER_CORE = 4
+
+#: Files of a table written after a shuffle: so many for each core of the cluster, or one for so many bytes of the tables
+#: that it is made from, whichever is more.
+FILES_PER_CORE, FILE_BYTES = 4, 32 << 20
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """df, made by a shuffle, in at most so many partitions for each core, and so in no more files than that."""
-    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    """df, made by a shuffle, in at most so many partitions as its inputs' bytes call for, and so in no more files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    size = 0
+    while leaves.hasNext():
+        size += int(str(leaves.next().stats().sizeInBytes()))
+    return df.coalesce(min(1 << 30, max(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, size // FILE_BYTES)))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: what comes after reads it, and needs no lost executor's files."""
+    """df as a Parquet table in the shared folder: what comes after reads it, and needs no lost executor's files. The
+    table stays until the driver ends or settled() removes it."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made_so_far() -> int:
+    """A mark for settled()."""
+    return len(getattr(_made, "paths", []))
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df as a table, as written() gives, with everything else removed that this thread wrote since the mark."""
+    out = written(df, name)
+    for path in _made.paths[since:-1]:
+        discard(df.sparkSession, path)
+    _made.paths = [*_made.paths[:since], _made.paths[-1]]
+    return out
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -53,15 +102,17 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int, out: str
     don't change between reads; rows is its size.
     """
     buckets = max(64, -(-rows // RANK_ROWS))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    by = [*keys, "_bucket"]
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
-    starts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    columns, (bucket, own_, start, n) = df.columns, (free_name(df, x) for x in ("_bucket", "_own", "_start", "_n"))
+    df = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    by = [*keys, bucket]
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    found = [free_name(df, f"_k{i}") for i in range(len(by))]
+    names = [F.col(k).alias(x) for k, x in zip(by, found, strict=True)]
+    starts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(n)).select(*names, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
     own = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
-    out_df = df.withColumn("_own", own).join(starts, on, "left")
-    return out_df.withColumn(out, (F.col("_start") + F.col("_own")).cast("bigint")).drop("_own", "_start", "_bucket", *(f"_k{i}" for i in range(len(by))))
+    on = [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(by, found, strict=True)]
+    out_df = df.withColumn(own_, own).join(starts, on, "left")
+    return out_df.select(*columns, (F.col(start) + F.col(own_)).cast("bigint").alias(out))
 
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
@@ -89,25 +140,31 @@ def keep_only(df: DataFrame, rows: DataFrame, group: str, best, id_col: str = "d
     """df, with all its columns, cut to one row of each group.
 
     rows is a written table with a row per row of df: doc_id, sha (the SHA-256 of its text, null as empty) and the
-    group; best is F.min or F.max of (doc_id, sha). Of rows that repeat both, one stays; only such rows are grouped with
-    their texts.
+    group; best is F.min or F.max of (doc_id, sha), where a null id is smaller than any other. Of rows that repeat both,
+    the one stays whose values hash lowest; only such rows are grouped with their texts.
     """
     stays = rows.groupBy(group).agg(best(F.struct("doc_id", "sha")).alias("_best")).select(F.col("_best.doc_id").alias("_kid"), F.col("_best.sha").alias("_ksha"), F.col(group).alias("_kgroup"))
     times = rows.groupBy("doc_id", "sha", group).agg(F.count(F.lit(1)).alias("_times"))
     held = times.join(stays, F.col("doc_id").eqNullSafe(F.col("_kid")) & (F.col("sha") == F.col("_ksha")) & F.col(group).eqNullSafe(F.col("_kgroup")), "left")
     gone = held.where("_ksha is null or _times > 1").select(F.col("doc_id").alias("_gid"), F.col("sha").alias("_gsha"), F.col("_ksha").isNotNull().alias("_one"))
     gone = written(gathered(gone), "gone")
-    keyed = df.select(F.struct("*").alias("_all"), F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
+    keyed = df.select(F.struct("*").alias("_all"), row_hash(df).alias("_hash"), F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
     on = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_sha") == F.col("_gsha"))
     few = gone.count() <= GONE_ROWS
     plain = keyed.join(F.broadcast(gone) if few else gone, on, "left_anti").select("_all.*")
     repeated = gone.where("_one")
     if repeated.isEmpty():
         return plain
-    once = keyed.join(F.broadcast(repeated) if few else repeated, on, "left_semi").groupBy("_id", "_sha").agg(F.first("_all").alias("_all")).select("_all.*")
+    once = keyed.join(F.broadcast(repeated) if few else repeated, on, "left_semi").groupBy("_id", "_sha").agg(F.min_by("_all", "_hash").alias("_all")).select("_all.*")
     return plain.unionByName(once)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns, whatever their types; maps, which can't be hashed, go by their text."""
+    plain = lambda f: "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()
+    return F.xxhash64(*(c if plain(f) else c.cast("string") for f in df.schema.fields for c in [F.col(f"`{f.name}`")]))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or a longer one that df doesn't have in any case of letters."""
     have = {c.lower() for c in df.columns}

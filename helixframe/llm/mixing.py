@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ranked, shared_path, written
+from helixframe.llm.common import ranked, row_hash, shared_path, until_exit, written
 
 #: Rows in a block, and slots in a cycle for each source, but at least so many.
 BLOCK, SLOTS_PER_SOURCE, SLOTS = 32, 20, 1000
@@ -132,6 +132,7 @@ def plan(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int])
         path = shared_path(spark, "plan")
         for part in itertools.batched(rows, PLAN_ROWS):
             _table(spark, part).write.mode("append").parquet(path)
+        until_exit(spark, path)
         table = spark.read.parquet(path)
     said = json.dumps([{"_source": n, "_number": i, "_share": own[i]} for i, n in enumerate(names)])
     sources = spark.range(1).select(F.inline(F.from_json(F.lit(said), "array<struct<_source: string, _number: bigint, _share: bigint>>")))
@@ -188,13 +189,9 @@ def schedule_rows(df: DataFrame, weights: dict[str | None, float] | None = None,
     return _placed(slim, ["_hash", "doc_id"], by, sizes, block).drop("_key", "_hash", "_turn")
 
 
-def _row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
-
-
 def keyed(df: DataFrame, source_col: str = "source") -> DataFrame:
     """df with _key and _hash, from which turned() finds the places that mixed_rows gives to df's rows."""
-    return df.withColumns({"_key": _key(F.col(source_col)), "_hash": _row_hash(df)})
+    return df.withColumns({"_key": _key(F.col(source_col)), "_hash": row_hash(df)})
 
 
 def turned(rows: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
@@ -210,7 +207,7 @@ def mixed_rows(df: DataFrame, weights: dict[str | None, float] | None = None, so
     by, sizes = _weights(df, _key(F.col(source_col)), weights)
     if not sizes:
         return df
-    full = df.select(F.struct("*").alias("_all"), _key(F.col(source_col)).alias("_key"), _row_hash(df).alias("_hash"))
+    full = df.select(F.struct("*").alias("_all"), _key(F.col(source_col)).alias("_key"), row_hash(df).alias("_hash"))
     return _placed(full, ["_hash"], by, sizes, block).orderBy("slot", "place").select("_all.*")
 
 

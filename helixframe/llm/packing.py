@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import gathered, give_back, ranked, small_batches, tidy, written
+from helixframe.llm.common import free_name, gathered, give_back, ranked, small_batches, tidy, written
 
 CAPACITY = 2048
 #: Token that ends each document.
@@ -130,7 +130,8 @@ def _tokenizer(path: str) -> WordTokenizer:
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, and ids if asked) for each row: its text's ids and END, cut at capacity.
 
-    A null or empty text is the one token END. Of other columns those in carry are returned, last.
+    A null or empty text is the one token END. A text of any length is tokenized whole. Repeated rows are pieces each; an
+    empty table gives an empty result. Of other columns those in carry are returned, last; the rest may have any name.
     """
     size = 4 * capacity
     end = np.asarray([END], "<u4").tobytes()
@@ -296,8 +297,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = BIN)
 
 def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces (with length from 1 to capacity). Repeated rows are pieces
-    of their own. An empty table stays empty."""
+    of their own. An empty table stays empty. Other columns stay; where one has a name of an added column, in any case of
+    letters, the added one gets underscores at its end."""
     spark = made.sparkSession
+    sequence_id, at = free_name(made, "sequence_id"), free_name(made, "offset")
+    length, first, end, shift, rank = (free_name(made, x) for x in ("_length", "_from", "_to", "_shift", "_rank"))
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = dict.fromkeys(histogram, 0)
     steps, base = [], 0
@@ -308,12 +312,12 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             used[x] += n
             offset += x
         base += n
-    table = spark.createDataFrame(steps, "_length long, _from long, _to long, _shift long, offset long")
+    table = spark.createDataFrame(steps, f"`{length}` long, `{first}` long, `{end}` long, `{shift}` long, `{at}` long")
     if len(steps) <= PLAN_ROWS:
         table = F.broadcast(table)
-    r = ranked(made, ["length"], ["doc_id", "piece", "ids_crc32"], sum(histogram.values()), "_rank")
-    on = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    return r.join(table, on).withColumn("sequence_id", F.col("_rank") + F.col("_shift")).select(*made.columns, "sequence_id", "offset")
+    r = ranked(made, ["length"], ["doc_id", "piece", "ids_crc32"], sum(histogram.values()), rank)
+    on = (F.col("length") == F.col(length)) & (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(end))
+    return r.join(table, on).withColumn(sequence_id, F.col(rank) + F.col(shift)).select(*made.columns, sequence_id, at)
 
 
 def pack_windows(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:

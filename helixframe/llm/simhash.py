@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import gathered, keep_only, small_batches, tidy, written
+from helixframe.llm.common import gathered, keep_only, made_so_far, settled, small_batches, tidy, written
 
 BITS, K, WORDS, SEED = 64, 2, 3, 42
 #: Fingerprints under one value that are paired; beyond it they are linked by neighbours.
@@ -214,6 +214,7 @@ def links(nodes: DataFrame, how: Partitioning, k: int = K, bucket: int = BUCKET)
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is its component's smallest node."""
+    mark = made_so_far()
     now = written(gathered(edges.select("a", "b")), "links")
     for _ in range(most_rounds):
         ends = now.select(F.col("b").alias("node"), F.col("a").alias("parent")).unionAll(now.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("parent")))
@@ -227,7 +228,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: the node and its smaller neighbours go to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("low")).select(F.col("b").alias("u"), "low")
         small = large.join(low, F.col("b") == F.col("u")).where("a != low").select(F.col("low").alias("a"), F.col("a").alias("b"))
-        now = written(gathered(small.unionAll(low.select(F.col("low").alias("a"), F.col("u").alias("b"))).distinct()), "links")
+        now = settled(gathered(small.unionAll(low.select(F.col("low").alias("a"), F.col("u").alias("b"))).distinct()), "links", mark)
     else:
         raise RuntimeError("components didn't settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
@@ -248,7 +249,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows, with all columns, that have their component's smallest id; one row of each component."""
+    """df's rows, with all columns, that have their component's smallest id; one row of each component. A null id is
+    smaller than any other here, though component_id, a report, passes over it."""
     groups = written(gathered(near_groups(df, id_col, text_col).select("doc_id", "sha", "root")), "components")
     return keep_only(df, groups, "root", F.min, id_col, text_col)
 

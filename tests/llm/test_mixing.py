@@ -103,3 +103,10 @@ def test_long_plans_and_tiny_weights(spark, monkeypatch):
     rows = x.schedule_rows(df, {"a": 1e-9, "b": 1.0}, block=4).collect()
     assert len(rows) == df.count() == len({(r.slot, r.place) for r in rows}) and all(r.release <= r.slot < r.deadline for r in rows)
     assert {(r.doc_id, r.slot, r.place, r.weight) for r in x.schedule_rows(df, {"a": 1e-9}, block=4).collect()} == few
+
+
+def test_rows_with_maps_and_clashing_names(spark):
+    df = spark.sql("select id as doc_id, 's' || (id % 2) as source, cast(null as string) as text, map('k', id) as m, id as _key, id as _hash, id as _turn, id as block, id as slot, id as _of, id as _source, id as _all from range(70)")
+    got = x.mixed_rows(x.written(df, "t"))
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == list(range(70))
+    assert [r.doc_id for r in x.schedule_rows(df).collect()] and x.schedule_rows(df).count() == 70

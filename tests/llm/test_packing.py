@@ -105,3 +105,10 @@ def test_cases(spark):
     assert packing.packed_documents(df.limit(0)).count() == 0
     made = written(packing.pieces(df, PATH, with_ids=True), "ids")
     assert all(len(r.ids) == r.length for r in packing.pack(made).collect())
+
+
+def test_clashing_names(spark):
+    made = spark.createDataFrame([(1, 0, 0, 5, 1, 7, 8, 9, 10), (2, 0, 0, 9, 2, 7, 8, 9, 10)], "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id int, offset int, _own int, _from int")
+    got = packing.pack(packing.written(made, "t"), capacity=10)
+    assert got.columns == [*made.columns, "sequence_id_", "offset_"]
+    assert sorted((r.doc_id, r.offset, r.offset_) for r in got.collect()) == [(1, 8, 0), (2, 8, 0)]

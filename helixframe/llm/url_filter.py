@@ -2,7 +2,8 @@
 
 Features are DataFrame expressions on the url alone, the same for training and prediction: lengths, depth, digit ratio,
 entropies, parameter counts, and statistics of the host's suffix learnt from the labelled urls. The trees are fitted on
-the driver to a bounded sample of labelled urls and applied in Arrow batches.
+the driver to a bounded sample of different labelled urls and applied in Arrow batches. held_out() tells how they do on
+hosts that no label is known of.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import types as T
 
 from helixframe.llm.common import small_batches, tidy
 
-#: Bounds of what is fitted on: labelled urls of each class, and suffixes with statistics of their own.
-SAMPLE, SUFFIXES = 10_000, 256
+#: Bound of what is fitted on: different labelled urls of each class.
+SAMPLE = 10_000
+#: Urls of a class that are gathered, by the estimate of how many there are, for each that is drawn.
+SPARE = 4
 TREES, DEPTH, RATE, RIDGE, BINS = 60, 3, 0.2, 1.0, 64
 #: (verdict, host, path) rules of the production filter.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -143,8 +146,7 @@ def fit_rows(x: np.ndarray, names: list[str], y: np.ndarray) -> Trees:
         c[1] += int(label)
     rate = (y.sum() + 1) / (len(y) + 2)
     model.unseen = (0.0, float(rate))
-    for n in sorted(seen, key=lambda n: (-seen[n][0], n))[:SUFFIXES]:
-        k, bad = seen[n]
+    for n, (k, bad) in sorted(seen.items()):
         model.suffixes[n] = (float(np.log1p(k)), float((bad + 10 * rate) / (k + 10)))
     if y.min(initial=1) == y.max(initial=0) or not len(y):
         model.base = 10.0 if len(y) and y[0] else -10.0
@@ -168,21 +170,48 @@ def fit_rows(x: np.ndarray, names: list[str], y: np.ndarray) -> Trees:
     return model
 
 
+def drawn(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(url, label): at most so many different urls of each class, those with the lowest hashes. A url with both labels is
+    unwanted. Each url counts once however many rows have it. Only about SPARE times the sample is shuffled."""
+    known = labelled.where(F.col("label").isin(0, 1) & F.col("url").isNotNull())
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}
+    # a url that has both labels must be seen under both, so unwanted ones are all looked at that wanted ones may be
+    share = {k: min(1.0, SPARE * sample / max(x, 1)) for k, x in n.items()}
+    share[1] = max(share.get(1, 1.0), share.get(0, 0.0))
+    bound = F.when(F.col("label") == 1, F.lit(share[1])).otherwise(F.lit(share.get(0, 1.0)))
+    each = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < bound * (1 << 30)).groupBy("url").agg(F.max("label").alias("label"))
+    parts = [each.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(sample) for k in (0, 1)]
+    return parts[0].unionAll(parts[1])
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Fits to rows of url and label (1 unwanted, 0 wanted; others and nulls are left out), at most so many of each class,
-    drawn by a hash of the url."""
-    rows: list = []
-    for label in (0, 1):
-        drawn = labelled.where(F.col("label") == label).select("url").orderBy(F.xxhash64("url"), "url").limit(sample)
-        host, path, rest = split_url(F.col("url"))
-        parts = drawn.select("url", host.alias("h"), path.alias("p"), rest.alias("r"))
-        rows += [(*r, label) for r in parts.select(*features(F.col("url"), F.col("h"), F.col("p"), F.col("r")), suffix(F.col("h"))).collect()]
-    x = np.array([r[: len(FEATURES)] for r in rows], float).reshape(-1, len(FEATURES))
-    return fit_rows(x, [r[-2] for r in rows], np.array([r[-1] for r in rows], np.int64))
+    """Fits to the drawn rows of url and label (1 unwanted, 0 wanted; others and nulls are left out)."""
+    host, path, rest = split_url(F.col("url"))
+    parts = drawn(labelled, sample).select("url", "label", host.alias("h"), path.alias("p"), rest.alias("r"))
+    rows = parts.select("url", *features(F.col("url"), F.col("h"), F.col("p"), F.col("r")), suffix(F.col("h")).alias("suffix"), "label").collect()
+    rows = sorted(rows, key=lambda r: r["url"])
+    x = np.array([r[1 : 1 + len(FEATURES)] for r in rows], float).reshape(-1, len(FEATURES))
+    return fit_rows(x, [r["suffix"] for r in rows], np.array([r["label"] for r in rows], np.int64))
+
+
+def held_out(labelled: DataFrame, folds: int = 5, sample: int = SAMPLE) -> dict[str, float]:
+    """How the trees do on hosts that they have seen nothing of: shares of labelled urls judged rightly, of unwanted ones
+    blocked and of wanted ones allowed, each fold of hosts judged by trees fitted to the others. Nan where there are none."""
+    host, _, _ = split_url(F.col("url"))
+    known = labelled.where(F.col("label").isin(0, 1) & F.col("url").isNotNull()).withColumn("_fold", F.pmod(F.xxhash64(host), F.lit(folds)))
+    right, n = {0: 0, 1: 0}, {0: 0, 1: 0}
+    for k in range(folds):
+        model = fit(known.where(F.col("_fold") != k), sample)
+        judged = judge(known.where(F.col("_fold") == k), model, "label", "url", ())
+        for r in judged.groupBy("page_id", "verdict").agg(F.count(F.lit(1)).alias("n")).collect():
+            n[r["page_id"]] += r["n"]
+            right[r["page_id"]] += r["n"] * (r["verdict"] == ("block" if r["page_id"] else "allow"))
+    share = lambda a, b: a / b if b else float("nan")
+    return {"right": share(sum(right.values()), sum(n.values())), "blocked": share(right[1], n[1]), "allowed": share(right[0], n[0])}
 
 
 def seed_labels(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """Labelled urls where a table has no labels: 1 if the host has one of the SEEDS, else 0."""
+    """Weak labels where a table has none: 1 if the host has one of the SEEDS, else 0. Null urls count as wanted."""
     host, _, _ = split_url(F.col(url_col))
     hit = F.lit(False)
     for s in SEEDS:
@@ -194,7 +223,8 @@ def judge(df: DataFrame, model: Trees, id_col: str = "page_id", url_col: str = "
     """One row per input row: page_id, host, path, rule, verdict, score (the trees' probability that the url is unwanted).
 
     verdict is the rule's or else, by the trees, block from a half on. Null urls and those without '://' have an empty host
-    and path and are judged by the trees. Other columns aren't returned.
+    and path and are judged by the trees. Urls of any length are judged whole, repeated rows each, and equal urls alike; an
+    empty table gives an empty result. Other columns aren't returned and may have any name.
     """
     host, path, rest = split_url(F.col("_url"))
     split = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url")).select("page_id", "_url", host.alias("host"), path.alias("path"), rest.alias("_rest"))

@@ -84,3 +84,48 @@ def test_query(spark):
         assert verdict in (None, r.verdict)
         if not verdict:
             assert r.verdict == ("block" if any(s in host for s in x.SEEDS) else "allow")
+
+
+def walk(tree, row):
+    """A tree's value, node by node."""
+    at = 0
+    while tree[at][2] >= 0:
+        f, cut, left, right, _ = tree[at]
+        at = left if row[f] <= cut else right
+    return tree[at][4]
+
+
+def test_trees_by_hand(spark):
+    rng = random.Random(3)
+    urls = sorted({f"http://{rng.choice(['a', 'b-c', 'x1.y', 'longer-name'])}{rng.randrange(50)}.{rng.choice(['com', 'net', 'org', 'info'])}/{'d/' * rng.randrange(5)}{rng.choice(['', '?a=1', '?a=1&b=%20', '#é'])}" for _ in range(400)})
+    labelled = spark.createDataFrame([(u, int("-" in u) ^ (rng.random() < 0.1)) for u in urls], "url string, label int")
+    model = x.fit(labelled)
+    host, path, rest = x.split_url(F.col("url"))
+    rows = labelled.select("url", host.alias("h"), *x.features(F.col("url"), host, path, rest)).collect()
+    df = spark.createDataFrame([(i, r.url) for i, r in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: r for r in x.judge(df, model, rules=()).collect()}
+    assert len(model.trees) == x.TREES
+    for i, r in enumerate(rows):
+        row = [*r[2:], *model.suffixes.get(r.h.rsplit(".", 1)[-1], model.unseen)]
+        margin = model.base + sum(walk(t, row) for t in model.trees)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-9)
+        assert got[i].verdict == ("block" if got[i].score >= 0.5 else "allow")
+
+
+def test_a_url_is_drawn_once(spark):
+    rows = [("http://hot/", 0)] * 5000 + [(f"http://a{i}/", 0) for i in range(500)] + [(f"http://b{i}/", 1) for i in range(30)] + [("http://a1/", 1), (None, 1), ("u", None), ("v", 7)]
+    got = x.drawn(spark.createDataFrame(rows, "url string, label int"), 200).collect()
+    assert len({r.url for r in got}) == len(got) == 231
+    assert {r.url for r in got if r.label == 1} == {f"http://b{i}/" for i in range(30)} | {"http://a1/"}
+    hashes = {r.url: r.h for r in spark.createDataFrame([(u,) for u in {r[0] for r in rows[:5500]}], "url string").selectExpr("url", "xxhash64(url) as h").collect()}
+    hashes.pop("http://a1/")
+    assert {r.url for r in got if r.label == 0} == set(sorted(hashes, key=hashes.get)[:200])
+
+
+def test_hosts_held_out(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re"]) for _ in range(3))
+    rows = [(f"https://{word()}.example.org/en/{i}", 0) for i in range(400)] + [(f"https://{word()}-{word()}.example.org/en/{i}", 1) for i in range(100)]
+    got = x.held_out(spark.createDataFrame(rows, "url string, label int"), 3)
+    assert got["right"] > 0.98 and got["blocked"] > 0.9 and got["allowed"] > 0.98
+    assert math.isnan(x.held_out(spark.createDataFrame([], "url string, label int"), 2)["right"])

@@ -5,7 +5,7 @@ Null in gives null out. Only A, C, G and T (either case where stated) are symbol
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHABET = "ACGT"
@@ -88,3 +88,36 @@ def unpack_blocks(blocks: Column, k: int) -> Column:
 def strand_hash(s: Column) -> Column:
     """A 64-bit hash that both strands share."""
     return F.xxhash64(canonical(s))
+
+
+def left_blocks(codes: Column, n: Column) -> Column:
+    """Packed words of MAX_PACKED symbols each from n digits 0 to 3 as bytes; the last word is filled up with zeros."""
+    digits = lambda i: F.rpad(F.substring(codes, i, F.lit(MAX_PACKED)).cast("string"), MAX_PACKED, "0")
+    return F.transform(F.sequence(F.lit(1), n, F.lit(MAX_PACKED)), lambda i: F.conv(digits(i), 4, 10).cast("bigint"))
+
+
+def packed_at(blocks: Column, at: Column, k: int) -> Column:
+    """The packed word of the k symbols that begin at the 0-based offset, from left_blocks; k is at most MAX_PACKED."""
+    shift = lambda name, x, n: F.call_function(name, x, n.cast("int"))
+    word, skip = F.floor(at / F.lit(MAX_PACKED)).cast("int"), F.pmod(at, F.lit(MAX_PACKED))
+    over = skip + F.lit(k - MAX_PACKED)  # symbols that the next word has
+    one = shift("shiftright", F.get(blocks, word), F.lit(-2) * over)
+    two = shift("shiftleft", F.get(blocks, word), F.lit(2) * over).bitwiseOR(shift("shiftright", F.get(blocks, word + 1), F.lit(2 * MAX_PACKED) - F.lit(2) * over))
+    return F.when(over <= 0, one).otherwise(two).bitwiseAND(F.lit((1 << 2 * k) - 1))
+
+
+#: Fixed masks that swap ever larger groups of two-bit symbols: group's bits, mask of each second group.
+_SWAPS = ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF))
+
+
+def with_canonical_code(df: DataFrame, name: str, k: int) -> DataFrame:
+    """df with its packed words of k symbols replaced by the smaller of each and its reverse complement's word.
+
+    A step names its result, so that each is computed once; all of it is arithmetic in generated code.
+    """
+    others, turned = [c for c in df.columns if c != name], f"{name}_turned"
+    df = df.select(*others, name, F.col(name).alias(turned))
+    for bits, mask in _SWAPS:
+        x, m = F.col(turned), F.lit(mask)
+        df = df.select(*others, name, F.shiftrightunsigned(x, bits).bitwiseAND(m).bitwiseOR(F.shiftleft(x.bitwiseAND(m), bits)).alias(turned))
+    return df.select(*others, F.least(F.col(name), F.shiftrightunsigned(F.bitwise_not(F.col(turned)), 64 - 2 * k)).alias(name))

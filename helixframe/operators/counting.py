@@ -5,38 +5,48 @@ A k-mer that fills a third of the input costs nothing more, since each task send
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators.windows import TILE, windows
+from helixframe.functions import dna
+from helixframe.operators.windows import TILE, packed_windows, windows
 
 
-def count_windows(w: DataFrame, min_abundance: int = 1, count_cap: int | None = None) -> DataFrame:
-    """(kmer, count) of window rows."""
-    n = F.count(F.lit(1))
-    out = w.groupBy("kmer").agg(n.alias("count"))
+def _shown(counted: DataFrame, kmer: Column, min_abundance: int, count_cap: int | None) -> DataFrame:
     if min_abundance > 1:
-        out = out.where(F.col("count") >= min_abundance)
+        counted = counted.where(F.col("count") >= min_abundance)
     shown = F.col("count") if count_cap is None else F.least(F.col("count"), F.lit(count_cap).cast("bigint"))
-    return out.select(F.col("kmer").cast("string").alias("kmer"), shown.alias("count"))
+    return counted.select(kmer.alias("kmer"), shown.alias("count"))
 
 
-def count_kmers(df: DataFrame, column: str = "seq", k: int = 21, min_abundance: int = 2, count_cap: int | None = None, tile: int = TILE, spread: int | None = None) -> DataFrame:
-    """(kmer, count) for canonical k-mers seen at least min_abundance times; count_cap saturates what is shown."""
-    if min_abundance < 1:
-        raise ValueError("min_abundance must be at least 1; only the text sink knows 0, for no output")
-    return count_windows(windows(df, column, k, tile=tile, spread=spread), min_abundance, count_cap)
+def count_windows(w: DataFrame, min_abundance: int = 1, count_cap: int | None = None) -> DataFrame:
+    """(kmer, count) of window rows."""
+    out = w.groupBy("kmer").agg(F.count(F.lit(1)).alias("count"))
+    return _shown(out, F.col("kmer").cast("string"), min_abundance, count_cap)
 
 
-def prefiltered_counts(df: DataFrame, column: str = "seq", k: int = 21, min_abundance: int = 2) -> DataFrame:
-    """Two passes: which k-mers occur twice, then counts of those alone. Exact, so singletons go even at abundance 1.
+def count_kmers(df: DataFrame, column: str = "seq", k: int = 21, min_abundance: int = 2, count_cap: int | None = None, tile: int = TILE, spread: int | None = None, both_strands: bool = False) -> DataFrame:
+    """(kmer, count) for canonical k-mers seen at least min_abundance times; count_cap saturates what is shown.
 
-    One grouping with a floor of two gives the same rows; count_kmers does that. This form exists for callers that want
-    the set of kept k-mers as a filter on windows.
+    both_strands counts each read and its reverse complement. They have the same canonical windows, so it doubles counts
+    and reads nothing twice. Keys of up to dna.MAX_PACKED symbols are bigints until they are shown.
     """
-    w = windows(df, column, k)
-    twice = w.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("kmer")
-    return count_windows(w.join(twice, "kmer", "left_semi"), min_abundance)
+    if min_abundance < 1:
+        raise ValueError("min_abundance must be at least 1; only the text sink knows 0, for no output")
+    if isinstance(k, int) and 1 <= k <= dna.MAX_PACKED:
+        w, key, kmer = packed_windows(df, column, k, tile, spread), "code", dna.unpack(F.col("code"), k)
+    else:
+        w, key, kmer = windows(df, column, k, tile=tile, spread=spread), "kmer", F.col("kmer").cast("string")
+    n = F.count(F.lit(1))
+    return _shown(w.groupBy(key).agg((n * 2 if both_strands else n).alias("count")), kmer, min_abundance, count_cap)
+
+
+def prefiltered_counts(df: DataFrame, column: str = "seq", k: int = 21, min_abundance: int = 2, count_cap: int | None = None) -> DataFrame:
+    """Counts of k-mers that occur at least twice; singletons go even at abundance 1. Exact, and in one pass: windows are
+    summed in each task before they are shuffled, and the filter is a floor on the sums."""
+    if min_abundance < 1:
+        raise ValueError("min_abundance must be at least 1; only the text sink knows 0, for no output")
+    return count_kmers(df, column, k, max(2, min_abundance), count_cap)
 
 
 def spectrum(counts: DataFrame) -> DataFrame:
@@ -60,3 +70,11 @@ def totals(counts: DataFrame, min_abundance: int = 2) -> DataFrame:
         F.count(F.when(c >= min_abundance, 1)).alias("written"),
         F.count(F.when(c < min_abundance, 1)).alias("skipped"),
     )
+
+
+def table_slots(counts: DataFrame) -> DataFrame:
+    """One row, slots: what a counter with a table of fixed size would reserve, two for each k-mer seen at least twice.
+
+    A hint for shuffle partitions, too; aggregates here need no size beforehand.
+    """
+    return counts.agg((F.count(F.when(F.col("count") >= 2, 1)) * 2).alias("slots"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions import dna
 from helixframe.operators.windows import TILE, _both, _check_k, _tiles
 
 
@@ -14,10 +15,16 @@ def edges(df: DataFrame, column: str = "seq", k: int = 21, min_abundance: int =
     Both windows are cut from the same k + 1 symbols, so no window function and no shuffle by read is needed.
     """
     _check_k(k)
-    t = _tiles(df, column, k + 1, tile, ()).select("*", F.explode(F.sequence(F.lit(1), F.col("_n") - k)).alias("_i"))
-    first, second = _both(F.col("_n"), F.col("_i"), k), _both(F.col("_n"), F.col("_i") + 1, k)
-    out = t.select(F.least(*first).alias("pred"), F.least(*second).alias("kmer")).groupBy("pred", "kmer").agg(F.count(F.lit(1)).alias("count"))
-    return out.where(F.col("count") >= min_abundance).select(F.col("pred").cast("string").alias("pred"), F.col("kmer").cast("string").alias("kmer"), "count")
+    packed = k <= dna.MAX_PACKED
+    t = _tiles(df, column, k + 1, tile, (), packed).select("*", F.explode(F.sequence(F.lit(1), F.col("_n") - k)).alias("_i"))
+    if packed:
+        t = t.select(dna.packed_at(F.col("_f"), F.col("_i") - 1, k).alias("pred"), dna.packed_at(F.col("_f"), F.col("_i"), k).alias("kmer"))
+        t, text = dna.with_canonical_code(dna.with_canonical_code(t, "pred", k), "kmer", k), lambda name: dna.unpack(F.col(name), k)
+    else:
+        first, second = _both(F.col("_n"), F.col("_i"), k), _both(F.col("_n"), F.col("_i") + 1, k)
+        t, text = t.select(F.least(*first).alias("pred"), F.least(*second).alias("kmer")), lambda name: F.col(name).cast("string")
+    out = t.groupBy("pred", "kmer").agg(F.count(F.lit(1)).alias("count"))
+    return out.where(F.col("count") >= min_abundance).select(text("pred").alias("pred"), text("kmer").alias("kmer"), "count")
 
 
 def predecessors(df: DataFrame, column: str, k: int, keep: tuple[str, ...], tile: int = TILE) -> DataFrame:

@@ -2,6 +2,9 @@
 
 Slices are taken from BINARY, where an offset is direct; a slice of a STRING counts characters from its start. The
 reverse complement is made once per tile and sliced from the other end, so a window costs two slices and a comparison.
+Windows that are only counted are packed where a bigint holds them: a tile becomes words of 31 symbols once, a window is a
+shift of one word or two, and its reverse complement is made by swapping bits, inside generated code; keys are then 8 bytes
+in every shuffle.
 """
 
 from __future__ import annotations
@@ -26,13 +29,18 @@ def segments(df: DataFrame, column: str = "seq", keep: tuple[str, ...] = ()) ->
     return df.select(*keep, runs.alias("seg_id", "_run")).where(F.length("_run") > 0).select(*keep, "seg_id", dna.fold(F.col("_run")).alias("seg"))
 
 
-def _tiles(df: DataFrame, column: str, size: int, tile: int, keep: tuple[str, ...]) -> DataFrame:
-    """Pieces of each segment that overlap by size - 1 symbols, so every window of that size has one piece."""
+def _tiles(df: DataFrame, column: str, size: int, tile: int, keep: tuple[str, ...], packed: bool = False) -> DataFrame:
+    """Pieces of each segment that overlap by size - 1 symbols, so every window of that size has one piece.
+
+    _f and _r are both strands as bytes, or _f is the read's own in packed words; _n is the number of symbols."""
     seg = segments(df, column, keep).where(F.length("seg") >= size)
     last = F.length("seg") - size + 1
     out = seg.select(*keep, "seg_id", F.col("seg").cast("binary").alias("_bytes"), F.explode(F.sequence(F.lit(1), last, F.lit(tile))).alias("_at"))
     piece = F.substring(F.col("_bytes"), F.col("_at"), F.lit(tile + size - 1))
     out = out.select(*keep, "seg_id", "_at", piece.alias("_f"))
+    if packed:
+        codes = F.translate(F.col("_f").cast("string"), dna.ALPHABET, "0123").cast("binary")
+        return out.select(*keep, "seg_id", "_at", F.octet_length("_f").alias("_n"), codes.alias("_c")).select(*keep, "seg_id", "_at", "_n", dna.left_blocks(F.col("_c"), F.col("_n")).alias("_f"))
     return out.select("*", dna.reverse_complement(F.col("_f").cast("string")).cast("binary").alias("_r"), F.octet_length("_f").alias("_n"))
 
 
@@ -42,10 +50,21 @@ def _both(size: Column | int, at: Column, k: int) -> tuple[Column, Column]:
     return F.substring(F.col("_f"), at, k_), F.substring(F.col("_r"), size - at - k_ + 2, k_)
 
 
+def packed_windows(df: DataFrame, column: str = "seq", k: int = 21, tile: int = TILE, spread: int | None = None) -> DataFrame:
+    """One row per window: code, the smaller strand in a bigint; for k up to dna.MAX_PACKED."""
+    _check_k(k)
+    t = _tiles(df, column, k, tile, (), packed=True)
+    if spread:
+        t = t.repartition(spread)
+    t = t.select("_f", F.explode(F.sequence(F.lit(0), F.col("_n") - k)).alias("_i"))
+    return dna.with_canonical_code(t.select(dna.packed_at(F.col("_f"), F.col("_i"), k).alias("code")), "code", k)
+
+
 def windows(df: DataFrame, column: str = "seq", k: int = 21, keep: tuple[str, ...] = (), positions: bool = False, tile: int = TILE, spread: int | None = None) -> DataFrame:
     """One row per window of k symbols: kmer (bytes of the smaller strand), with keep columns.
 
-    positions adds seg_id, pos (0-based in its segment), forward (the read's own strand, bytes) and is_forward. spread
+    positions adds seg_id, pos (0-based in its segment), forward (the read's own strand, bytes), is_forward, and noncanonical
+    (bytes of the larger strand). spread
     deals tiles over that many partitions first, for inputs of few very long reads.
     """
     _check_k(k)
@@ -57,7 +76,17 @@ def windows(df: DataFrame, column: str = "seq", k: int = 21, keep: tuple[str, ..
     if not positions:
         return t.select(*keep, F.least(fwd, rev).alias("kmer"))
     out = t.select(*keep, "seg_id", (F.col("_at") + F.col("_i") - 2).cast("bigint").alias("pos"), fwd.alias("forward"), rev.alias("_b"))
-    return out.select(*keep, "seg_id", "pos", "forward", F.least("forward", "_b").alias("kmer"), (F.col("forward") <= F.col("_b")).alias("is_forward"))
+    return out.select(*keep, "seg_id", "pos", "forward", F.least("forward", "_b").alias("kmer"), (F.col("forward") <= F.col("_b")).alias("is_forward"), F.greatest("forward", "_b").alias("noncanonical"))
+
+
+def symbol_at(window: Column, i: int, backward: bool = False) -> Column:
+    """The symbol at a 0-based position of a window's bytes, or of its reverse complement; empty beyond the end."""
+    if i < 0:
+        raise ValueError("positions begin at 0")
+    if not backward:
+        return F.substring(window, F.lit(i + 1), F.lit(1)).cast("string")
+    at = F.octet_length(window) - i
+    return F.translate(F.when(at > 0, F.substring(window, at, F.lit(1)).cast("string")).otherwise(F.lit("")), dna.ALPHABET, "TGCA")
 
 
 def window_symbols(df: DataFrame, column: str = "seq", k: int = 21, keep: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe import operators as op
-from helixframe.functions import dna
-from helixframe.sources import read_fasta, read_fastq, read_plain, write_counts, read_counts
+from helixframe.functions import dna, numbers
+from helixframe.sources import FormatError, detect_format, read_fasta, read_fastq, read_plain, write_counts, read_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +20,14 @@ READ = "translate(md5(concat_ws('|', l_orderkey, l_linenumber)), '0123456789abcd
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows of a table in fewer files than there are cores, dealt over all of them before they expand to windows."""
+    """Rows of a table in fewer splits than there are cores, dealt over all of them before they expand to windows.
+
+    Rows go by their numbers: dealing them round robin would sort each split first, so that lost tasks repeat the same.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.withColumn("_row", F.monotonically_increasing_id()).repartition(cores, "_row").drop("_row")
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +46,11 @@ def _forward_counts(df: DataFrame, k: int) -> DataFrame:
 
 def _shared(spark: SparkSession) -> str:
     """A new folder that every executor can reach."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        top = f"file://{tempfile.gettempdir()}"
     return f"{top.rstrip('/')}/reads-{uuid.uuid4().hex}"
 
 
@@ -89,6 +98,48 @@ def _compare(spark: SparkSession, sf: str) -> DataFrame:
     return op.compare_counts(op.count_kmers(even, k=7, min_abundance=1), op.count_kmers(odd, k=7, min_abundance=1))
 
 
+def _strands(spark: SparkSession, sf: str) -> DataFrame:
+    w = op.windows(docs(spark, sf), "seq", 3, ("doc_id",), positions=True)
+    symbols = [op.symbol_at(F.col("forward"), i, back).alias(f"{'back' if back else 'forward'}_{i}") for back in (False, True) for i in range(3)]
+    return w.select("doc_id", "seg_id", "pos", F.col("kmer").cast("string").alias("canonical"), F.col("noncanonical").cast("string").alias("noncanonical"), "is_forward", *symbols)
+
+
+#: (file name, first line) of small files whose formats are told.
+_SAMPLES = (("a.fa", ">r"), ("b.fasta.gz", ">r"), ("c.fq", "@r"), ("d.txt", "ACGT"), ("e.fa", "ACGT"), ("f.gz", "acgt"), ("g.seq", "NACGT"))
+
+
+def _formats(spark: SparkSession, sf: str) -> DataFrame:
+    rows, top = [], _shared(spark)
+    for name, line in _SAMPLES:
+        folder = f"{top}-{name}"
+        spark.range(1).select(F.lit(line).alias("value")).coalesce(1).write.option("compression", "gzip" if name.endswith(".gz") else "none").text(folder)
+        (file,) = spark.read.text(folder).inputFiles()
+        at = spark._jvm.org.apache.hadoop.fs.Path(file)
+        named = f"{folder}/{name}"
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, spark._jvm.org.apache.hadoop.fs.Path(named))
+        try:
+            rows.append((name, *detect_format(spark, named)))
+        except FormatError:
+            rows.append((name, "ill-formed", name.endswith(".gz")))
+    return spark.createDataFrame(rows, "name string, format string, gzipped boolean")
+
+
+def _numbers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(n, numbers.next_prime(n), numbers.next_prime(n, 3), numbers.inverse(n, 211), numbers.power(n, 5, 97), numbers.gcd(n, 60)) for n in range(1, 201)]
+    return spark.createDataFrame(rows, "n long, prime long, prime3mod4 long, inverse long, power long, gcd long")
+
+
+def _filter_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(n, f, *numbers.bloom_size(n, f)) for n in (1000, 123_456, 4_000_000, 10**9) for f in (0.5, 0.01, 0.001)]
+    return spark.createDataFrame(rows, "n long, fpr double, bits long, hashes long")
+
+
+def _strand_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the hash is the same for both strands of each read, and how many different values there are."""
+    r = reads(spark, sf).select(dna.strand_hash(F.col("seq")).alias("h"), dna.strand_hash(dna.reverse_complement(F.col("seq"))).alias("g"))
+    return r.agg(F.count(F.when(F.col("h") == F.col("g"), 1)).alias("same"), F.countDistinct("h").alias("hashes"))
+
+
 def _reads(k: int, a: int = 2, **more) -> Query:
     return lambda s, d: op.count_kmers(reads(s, d), k=k, min_abundance=a, **more)
 
@@ -118,7 +169,7 @@ QUERIES: dict[str, Query] = {
     "kmer_window_symbols": lambda s, d: op.window_symbols(docs(s, d), "seq", 3, ("doc_id",)),
     "run_lengths": lambda s, d: op.run_lengths(docs(s, d), "seq", 3),
     "kmer_lookup": _lookup,
-    "union_strands": lambda s, d: op.count_kmers(op.with_reverse_strands(reads(s, d)), k=11, min_abundance=1),
+    "union_strands": lambda s, d: op.count_kmers(reads(s, d), k=11, min_abundance=1, both_strands=True),
     "compare_counts": _compare,
     "orient_counts": lambda s, d: op.orient_counts(_forward_counts(docs(s, d), 3), 3),
     "read_lengths": lambda s, d: op.read_stats(docs(s, d), "seq", 5, ("doc_id",)),
@@ -129,6 +180,12 @@ QUERIES: dict[str, Query] = {
     "gzip_fasta": _through_files("gzip"),
     "fastq_roundtrip": _through_files("fastq"),
     "count_file_roundtrip": _through_files("counts"),
+    "kmer_strands": _strands,
+    "table_slots": lambda s, d: op.table_slots(op.count_kmers(reads(s, d), k=11, min_abundance=1)),
+    "file_formats": _formats,
+    "number_helpers": _numbers,
+    "filter_sizes": _filter_sizes,
+    "strand_hashes": _strand_hashes,
 }
 
 
@@ -168,7 +225,23 @@ _SYMBOLS = """WITH seg AS (SELECT doc_id, unnest(string_split_regex(text, '[^ACG
  w AS (SELECT doc_id, seg_id, upper(s) AS s, unnest(generate_series(1, length(s)-2)) AS i FROM seg WHERE length(s) >= 3)
 SELECT doc_id, CAST(seg_id AS INTEGER) AS seg_id, CAST(i - 1 AS BIGINT) AS pos, s[i:i] AS leftmost, s[i+2:i+2] AS rightmost, CASE WHEN i > 1 THEN s[i-1:i-1] END AS pushed_off FROM w"""
 
+_STRANDS = f"""WITH seg AS (SELECT doc_id, unnest(string_split_regex(text, '[^ACGTacgt]+')) AS seg, generate_subscripts(string_split_regex(text, '[^ACGTacgt]+'), 1) - 1 AS seg_id FROM documents),
+ w AS (SELECT doc_id, seg_id, i, upper(seg[i:i+2]) AS f, translate(reverse(upper(seg[i:i+2])), 'ACGT', 'TGCA') AS b FROM (SELECT *, unnest(generate_series(1, length(seg)-2)) AS i FROM seg WHERE length(seg) >= 3))
+SELECT doc_id, CAST(seg_id AS INTEGER) AS seg_id, CAST(i - 1 AS BIGINT) AS pos, least(f, b) AS canonical, greatest(f, b) AS noncanonical, f <= b AS is_forward,
+ f[1:1] AS forward_0, f[2:2] AS forward_1, f[3:3] AS forward_2, b[1:1] AS back_0, b[2:2] AS back_1, b[3:3] AS back_2 FROM w"""
+
+_NUMBERS = """WITH p AS (SELECT n FROM range(2, 300) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 18) d(k) WHERE k < n AND n % k = 0))
+SELECT n, (SELECT min(p.n) FROM p WHERE p.n >= r.n) AS prime, (SELECT min(p.n) FROM p WHERE p.n >= r.n AND p.n % 4 = 3) AS prime3mod4,
+ (SELECT min(x) FROM range(1, 211) i(x) WHERE x * r.n % 211 = 1) AS inverse, n * n * n * n * n % 97 AS power, gcd(n, 60) AS gcd FROM range(1, 201) r(n)"""
+
 ORACLES: dict[str, str] = {
+    "kmer_strands": _STRANDS,
+    "table_slots": f"SELECT CAST(2 * count(*) AS BIGINT) AS slots FROM ({_of_reads(11)})",
+    "file_formats": "SELECT * FROM (VALUES ('a.fa', 'fasta', false), ('b.fasta.gz', 'fasta', true), ('c.fq', 'fastq', false), ('d.txt', 'plain', false), ('e.fa', 'ill-formed', false), ('f.gz', 'plain', true), ('g.seq', 'ill-formed', false)) t(name, format, gzipped)",
+    "number_helpers": _NUMBERS,
+    "filter_sizes": """SELECT n, fpr, CAST(bits AS BIGINT) AS bits, CAST(ceil(bits / n * ln(2)) AS BIGINT) AS hashes
+FROM (SELECT *, pow(2, ceil(log2(-n * ln(fpr) / pow(ln(2), 2)))) AS bits FROM (SELECT CAST(n AS BIGINT) AS n, CAST(fpr AS DOUBLE) AS fpr FROM (VALUES (1000), (123456), (4000000), (1000000000)) a(n), (VALUES (0.5), (0.01), (0.001)) b(fpr)))""",
+    "strand_hashes": f"SELECT count(*) AS same, count(DISTINCT {_canon('s')}) AS hashes FROM (SELECT {READ} AS s FROM lineitem)",
     "kmer_window_symbols": _SYMBOLS,
     "kmer_count_docs_k3": _of_docs(3),
     "kmer_count_docs_k3_a1": _of_docs(3, 1),

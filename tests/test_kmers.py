@@ -184,3 +184,43 @@ def test_cli(tmp_path, spark, monkeypatch):
     (tmp_path / "r.fa").write_text(">a\nACGTACGT\n")
     assert cli.main([str(tmp_path / "r.fa"), "4", "-a", "1", "-m", "2", "-s", "100", "-o", str(tmp_path / "o")]) == 0
     assert as_dict(read_counts(spark, str(tmp_path / "o"))) == counted(["ACGTACGT"], 4)
+
+
+def test_cli_options(tmp_path, spark, capsys):
+    from helixframe import cli
+
+    for bad in (["-b"], ["-u", "5"], ["-f", "0.1"], ["-b", "-u", "9", "-f", "0.9999"], ["-t", "65"], ["-t", "x"], ["-a", "-1"], ["-s", "0"], ["-s", "1", "-u", "2", "-b"], ["-c", "0"]):
+        with pytest.raises(SystemExit):
+            cli.checked(["r.fa", "4", *bad])
+    with pytest.raises(SystemExit):
+        cli.checked(["r.fa", "0"])
+    reads = ["ACGTTGCA" * 40, "ACGTTGCA", "GATTACA"]
+    with gzip.open(tmp_path / "r.fa.gz", "wt") as f:
+        f.write("".join(f">{i}\n{r}\n" for i, r in enumerate(reads)))
+    capsys.readouterr()
+    assert cli.main([str(tmp_path / "r.fa.gz"), "5", "-a", "1", "-b", "-u", "100", "-f", "0.01", "-c", "30", "-o", str(tmp_path / "b")]) == 0
+    want = {x: min(n, 30) for x, n in counted(reads, 5).items() if n >= 2}
+    assert as_dict(read_counts(spark, str(tmp_path / "b"))) == want and max(want.values()) == 30
+    assert str(len(want)) in capsys.readouterr().out
+    assert cli.main([str(tmp_path / "r.fa.gz"), "5", "-a", "0", "-o", str(tmp_path / "none")]) == 0
+    assert read_counts(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 15, 30, 31, 32, 33])
+def test_packed_windows(spark, k):
+    rng = random.Random(k)
+    reads = ["".join(rng.choice("ACGTacgtN" if rng.random() < 0.05 else "ACGT") for _ in range(n)) for n in (0, 1, 30, 31, 32, 33, 61, 62, 63, 64, 93, 94, 200, 700)] + ["A" * 300, "ACGT" * 50]
+    df = frame(spark, reads)
+    want = counted(reads, k)
+    for tile in (1, 7, 31, 100, 1 << 16):
+        assert as_dict(op.count_kmers(df, k=k, min_abundance=1, tile=tile)) == want
+    assert as_dict(op.count_kmers(df, k=k, min_abundance=2, both_strands=True)) == as_dict(op.count_kmers(op.with_reverse_strands(df), k=k, min_abundance=2))
+    pairs = {}
+    for a, b, n in ((r.pred, r.kmer, r["count"]) for r in op.edges(df, k=k, tile=13).collect()):
+        pairs[a, b] = n
+    slow = {}
+    for seg in (s for r in reads for s in r.upper().replace("N", " ").split()):
+        canon = [min(w, "".join(COMP[x] for x in reversed(w))) for w in (seg[i : i + k] for i in range(len(seg) - k + 1))]
+        for a, b in zip(canon, canon[1:], strict=False):
+            slow[a, b] = slow.get((a, b), 0) + 1
+    assert pairs == slow

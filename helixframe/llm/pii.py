@@ -6,11 +6,13 @@ validate. Between anchors no Python runs.
 
 Base kinds, each leftmost and non-overlapping by itself: email, ip (parts at most 255), card (14 to 19 digits, Luhn),
 phone (10 to 15 digits). Kinds that the method adds: url (a web, file-transfer or mail address after its scheme), iban
-(country letters, check digits and the checksum of 97) and account (an identifier after a cue such as "account no").
+(country letters, check digits and the checksum of 97) and account (an identifier after a cue such as "account no" that is
+no part of a longer word). Schemes are found in any case of letters.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,13 +28,15 @@ from helixframe.llm.common import SPAN, base_of, count_kind, joined, small_batch
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
 #: Fixed anchors of the added kinds.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
-CUES = ("account no", "account number", "account:", "acct", "iban", "ssn", "passport no", "customer id", "routing no")
+CUES = ("account", "account no", "account number", "acct", "iban", "ssn", "passport no", "customer id", "routing no")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _LABEL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-")
 _DIGITS = frozenset("0123456789")
+_UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _PHONE = frozenset(" ().0123456789-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_MAILBOX = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _URL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
@@ -40,14 +44,22 @@ _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(
 _ACCOUNT = re.compile(r"(?:[ \t]*(?:[:#=.]|is)?){0,2}[ \t]*([A-Z]{0,3}[0-9][0-9-]{4,32}[0-9])(?![A-Za-z0-9])")
 
 
+def _cases(word: str) -> set[str]:
+    """The word in every case of its letters if these are few, else in the usual ones."""
+    if sum(map(str.isalpha, word)) <= 6:
+        return set(map("".join, itertools.product(*({c, c.upper()} for c in word))))
+    return {word, word.upper(), word.capitalize(), word.title()}
+
+
 def automaton() -> ahocorasick.Automaton:
     """Anchors with what each calls for: (kind, anchor length)."""
     a = ahocorasick.Automaton()
-    for word, kind in [("@", "@"), ("+", "+"), *((d, "0") for d in "0123456789"), *((s, "s") for s in SCHEMES)]:
+    for word, kind in [("@", "@"), ("+", "+"), *((d, "0") for d in "0123456789")]:
         a.add_word(word, (kind, len(word)))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            a.add_word(form, ("c", len(form)))
+    for words, kind in ((SCHEMES, "s"), (CUES, "c")):
+        for word in words:
+            for form in _cases(word):
+                a.add_word(form, (kind, len(form)))
     a.make_automaton()
     return a
 
@@ -72,6 +84,16 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str,
     n = len(text)
     email_end = ip_end = card_end = run_end = url_end = account_end = iban_end = 0
 
+    def iban(at: int) -> None:
+        nonlocal iban_end
+        if at >= iban_end and (m := _IBAN.match(text, at)):
+            s = m[0]
+            while len(s) >= 15 and not _iban_ok(s):
+                s = s[: s.rfind(" ")] if " " in s else ""
+            if s:
+                iban_end = at + len(s)
+                add("iban", at, iban_end, False)
+
     def add(kind: str, start: int, end: int, base: bool) -> None:
         out.append((start, KINDS.index(kind), kind, end, base))
 
@@ -91,6 +113,8 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str,
                 ip_end = m.end()
                 if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m.groups()):
                     add("ip", last, ip_end, True)
+            if run_end - last >= 2 and last >= 2 and text[last - 1] in _UPPER and text[last - 2] in _UPPER and not text[last - 3 : last - 2].isalnum():
+                iban(last - 2)  # country letters before the check digits
         elif what == "@":
             start = last
             while start > email_end and text[start - 1] in _LOCAL:
@@ -110,33 +134,22 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str,
                     add("phone", last, end, True)
         elif what == "s":
             start = last - size + 1
-            if start >= url_end and (m := (_DOMAIN if text[last] == ":" else _URL).match(text, last + 1)) and "." in m[0]:
+            if start >= url_end and (m := (_MAILBOX if text[last] == ":" else _URL).match(text, last + 1)) and "." in m[0]:
                 url_end = last + 1 + len(m[0].rstrip(".,;:!?)"))
                 add("url", start, url_end, False)
-        elif last + 1 >= account_end:
+        elif last + 1 >= account_end and not text[max(0, last - size) : last - size + 1].isalnum():
             m = _ACCOUNT.match(text, last + 1)
             if m:
                 account_end = m.end(1)
                 add("account", m.start(1), account_end, False)
-            # an account in its international form may follow the cue, or its separator
-            at = last + 1
-            while at < n and at < last + 9 and text[at] in " \t:#=.-":
-                at += 1
-            if at >= iban_end and (m := _IBAN.match(text, at)):
-                s = m[0]
-                while len(s) >= 15 and not _iban_ok(s):
-                    s = s[: s.rfind(" ")] if " " in s else ""
-                if s:
-                    iban_end = at + len(s)
-                    add("iban", at, iban_end, False)
     return out
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): every span of each row's whole text, sorted by start, then kind.
 
-    One output row per input row, repeated rows too. A null or empty text has no span. Other columns aren't returned and
-    may have any name.
+    One output row per input row, repeated rows too. A null or empty text has no span; a text of any length is read whole;
+    an empty table gives an empty result. Other columns aren't returned and may have any name.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

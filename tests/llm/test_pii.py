@@ -54,3 +54,19 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in want) for k in RX]
         assert set(want) <= set(r.spans.split(",") if r.spans else [])
+
+
+def test_borders_and_cases():
+    kinds = lambda t: {k: t[s:e] for s, _, k, e, b in pii.find(t, pii.automaton()) if not b}
+    assert kinds("Caliban 123456 and subaccount 12345678") == {}
+    assert kinds("HTTP://A.example.com/x") == {"url": "HTTP://A.example.com/x"} and kinds("see hTtP://b.example.com/x, ok") == {"url": "hTtP://b.example.com/x"}
+    assert kinds("MailTo:bob@x.example.com") == {"url": "MailTo:bob@x.example.com"}
+    assert kinds("pay to GB82WEST12345698765432 now") == {"iban": "GB82WEST12345698765432"} and kinds("pay to GB82WEST12345698765433 now") == kinds("pay XGB82WEST12345698765432") == {}
+    assert kinds("DE89 3704 0044 0532 0130 00") == {"iban": "DE89 3704 0044 0532 0130 00"}
+    assert kinds("account 12345678") == {"account": "12345678"} == kinds("(Account: 12345678)") == kinds("iBaN 12345678")
+    assert kinds("Account no: 12345-6789, account number 77777777") == {"account": "77777777"}
+
+
+def test_added_kinds_grow_with_the_text():
+    t = "IBAN GB82 WEST 1234 5698 7654 32, account 12345678; AB12CD34 " * 20000
+    assert len(pii.find(t, pii.automaton())) >= 40000

@@ -8,6 +8,8 @@ labelled documents. Words are runs of letters in lower case; longer ones are sco
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import free_name, small_batches, tidy, written
 
-#: Bounds of what is fitted on: labelled documents per language (expected), languages, and most frequent words of each.
-SAMPLE, LANGUAGES, WORDS = 300, 256, 60_000
+#: Bounds of what is fitted on: labelled documents per language (expected); languages, more of which are an error.
+SAMPLE, LANGUAGES = 300, 1000
+#: Words of a language whose segmentations are in memory together; fitting goes over all words in such blocks.
+WORDS = 60_000
 ROUNDS, SMOOTH = 4, 0.05
 UNIT = 24
 #: Words whose scores a worker keeps in each of two generations, and characters of text whose new words are learnt together.
@@ -118,13 +122,22 @@ def _fit_language(words: list[tuple[str, int]], automaton: ahocorasick.Automaton
     for word, n in words:
         for u in units(word):
             tally[u] = tally.get(u, 0) + n
-    lattice, weight = Lattice(list(tally), automaton, lengths), np.array(list(tally.values()), float)[:, None]
+    own, counts = list(tally), np.array(list(tally.values()), float)[:, None]
+    del tally
+
+    def blocks() -> Iterator[tuple[Lattice, np.ndarray]]:
+        for i in range(0, len(own), WORDS):
+            yield Lattice(own[i : i + WORDS], automaton, lengths), counts[i : i + WORDS]
+
+    held = list(blocks()) if len(own) <= WORDS else None
     p = (0.02 ** (1 / np.maximum(np.append(lengths, 1), 1)) / len(lengths))[:, None]
     for _ in range(rounds):
-        a, b = lattice.forward(p), lattice.backward(p)
-        share = weight / np.maximum(a[lattice.end], 1e-300)
-        use = a[lattice.start] * p[lattice.piece] * b[lattice.to] * share[lattice.word]
-        c = np.bincount(lattice.piece, use[:, 0], len(lengths) + 1)[:, None] + smooth
+        c = np.full((len(lengths) + 1, 1), smooth)
+        for lattice, weight in held or blocks():
+            a, b = lattice.forward(p), lattice.backward(p)
+            share = weight / np.maximum(a[lattice.end], 1e-300)
+            use = a[lattice.start] * p[lattice.piece] * b[lattice.to] * share[lattice.word]
+            c += np.bincount(lattice.piece, use[:, 0], len(lengths) + 1)[:, None]
         p = c / c.sum(0)
         p[-1] = 1e-6  # a character outside the vocabulary tells little
     return p[:, 0]
@@ -159,26 +172,29 @@ def fit(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: s
     """Fits on about so many documents per language, drawn by a hash of the id among those not held out.
 
     A line counts once however often the sample has it, and not at all if documents of several languages have it, so
-    boilerplate and repeated passages don't pass for a language. Each language has its own bound of WORDS words, ties cut
-    by a hash, so every sampled language that has a word of its own lines is in the model.
+    boilerplate and repeated passages don't pass for a language. All words of the drawn documents count, and every
+    language that has one in a line of its own is in the model. More than LANGUAGES languages raise. Rows without a text or
+    a lang tell nothing; an empty table gives a model without languages.
     """
     docs = small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(eligible("doc_id", "text", "lang"))
-    n = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    n = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(n) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not n:
         return fit_counts([], vocabulary(vocabulary_path))
-    share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, sample / k))) for x, k in n.items()))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    said = json.dumps([{"_of": x, "_share": min(1.0, sample / k)} for x, k in n.items()])
+    shares = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(said), "array<struct<_of: string, _share: double>>")))
+    drawn = docs.join(F.broadcast(shares), F.col("lang") == F.col("_of")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     # each line once, and none that documents of several languages share
     lines = drawn.select("lang", F.explode(F.split("text", "\n")).alias("text")).groupBy("text").agg(F.min("lang").alias("lang"), F.max("lang").alias("_other")).where("lang = _other")
     words = lines.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     # of a bounded sample, so few files do
     counts = written(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).coalesce(df.sparkSession.sparkContext.defaultParallelism), "words")
 
-    def top(lang: str) -> list[tuple[str, int]]:
-        own = counts.where(F.col("lang") == lang).select("word", "n")
-        return [tuple(r) for r in own.orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(WORDS).collect()]
-
-    return fit_words(((lang, top(lang)) for lang in sorted(n)), vocabulary(vocabulary_path))
+    # a language's words at a time
+    rows = counts.select("lang", "word", "n").orderBy("lang", "word").toLocalIterator()
+    by = ((lang, [(word, k) for _, word, k in own]) for lang, own in itertools.groupby(rows, lambda r: r[0]))
+    return fit_words(by, vocabulary(vocabulary_path))
 
 
 class Scorer:
@@ -273,7 +289,8 @@ class Scorer:
 
 def language(model: Model, text: Column) -> Column:
     """struct(lang_pred, score) of a text: the likeliest language and its posterior under equal priors. A text that is
-    null or has no letter is und with score 0; ties go to the first language by name."""
+    null or has no letter is und with score 0; ties go to the first language by name. A text of any length is scored whole,
+    equal texts alike; an empty table gives an empty result."""
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)

@@ -111,3 +111,62 @@ def test_languages_are_fitted_alike_alone_and_together():
     both = x.fit_counts(counts, pieces)
     for i, lang in enumerate(both.languages):
         assert np.allclose(both.p[:, [i]], x.fit_counts([c for c in counts if c[0] == lang], pieces).p)
+
+
+def forward(unit, p, other):
+    """The sum over all segmentations of one unit, position by position."""
+    sums = [1.0] + [0.0] * len(unit)
+    for end in range(1, len(unit) + 1):
+        sums[end] = sum(sums[start] * p[unit[start:end]] for start in range(end) if unit[start:end] in p)
+        if unit[end - 1] not in p:
+            sums[end] += sums[end - 1] * other
+    return sums[-1]
+
+
+def test_predictions_by_hand(spark, monkeypatch):
+    """Every prediction of a small table, from the model's probabilities, by plain loops."""
+    monkeypatch.setattr(x, "CACHE", 3)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(9001, None, "en"), (9002, "", "en"), (9003, "12 ²½ --", "de"), (9004, "x" * 60 + " " + "ñandú", None), (9005, "Ø Ý 漢字 слово", None), (9006, "Der, die; DAS", None), (9006, "Der, die; DAS", None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    model = x.fit(docs, x.default_vocabulary())
+    tables = [dict(zip(model.pieces, model.p[:-1, i].tolist(), strict=True)) for i in range(len(model.languages))]
+    other = model.p[-1].tolist()
+    known = {}
+
+    def word(w):
+        if w not in known:
+            known[w] = [sum(math.log(max(forward(u, t, o), 1e-300)) for u in x.units(w)) for t, o in zip(tables, other, strict=True)]
+        return known[w]
+
+    rows = docs.select("text", x.language(model, docs.text).alias("f")).select("text", "f.*").collect()
+    assert len(rows) == docs.count() and len(model.languages) == 4
+    for r in rows:
+        words = x._WORD.findall((r.text or "").lower())
+        if not any(c.isalpha() for w in words for c in w):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        total = [math.fsum(v) for v in zip(*map(word, words), strict=True)]
+        best = max(total)
+        assert total[model.languages.index(r.lang_pred)] == pytest.approx(best, abs=1e-6)
+        assert r.score == pytest.approx(1 / sum(math.exp(t - best) for t in total), abs=1e-6)
+
+
+def test_blocks_of_words_fit_alike(monkeypatch):
+    rng = random.Random(6)
+    counts = [(lang, "".join(rng.choice(letters) for _ in range(rng.randrange(1, 30))), rng.randrange(1, 9)) for lang, letters in (("aa", "abc"), ("bb", "bcd")) for _ in range(200)]
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "bc", "c", "cd", "bcd"]
+    want = x.fit_counts(counts, pieces).p
+    for words in (1, 7, 50):
+        monkeypatch.setattr(x, "WORDS", words)
+        assert np.allclose(x.fit_counts(counts, pieces).p, want)
+
+
+def test_many_languages(spark, monkeypatch):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)}", f"l{i:03}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r.doc_id for r in df.where(x.held_out(df.doc_id)).collect()}
+    assert x.fit(df, x.default_vocabulary()).languages == [lang for i, _, lang in rows if i not in held]
+    monkeypatch.setattr(x, "LANGUAGES", 100)
+    with pytest.raises(ValueError, match="languages"):
+        x.fit(df, x.default_vocabulary())

@@ -1,7 +1,8 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
-1. Each text is cut where its own content says so: at the first sentence end or newline after MIN characters, or after
-   MAX. Equal texts have equal cuts, and a shared passage gives the same chunks soon after its start.
+1. Each text is cut where its own content says so: at the first sentence end or newline after MIN characters; where none
+   comes before MAX, at the first blank or mark of punctuation in any script after MIN; and without any, after MAX. Equal
+   texts have equal cuts, and a shared passage gives the same chunks soon after its start.
 2. Chunks are deduplicated into a dictionary. A chunk's identifier is its 64-bit hash and length; an identifier is
    verified if all chunks under it have equal bytes, which the smallest and the largest of them tell. Each task sends an
    identifier's chunk once, however many documents hold it.
@@ -24,7 +25,7 @@ MIN, MAX = 768, 8192
 
 def chunks(text: Column, least: int = MIN, most: int = MAX) -> Column:
     """The text's chunks in order; their concatenation is the text. None for the empty text."""
-    pattern = rf"(?s).{{{least},{most - 2}}}?(?:[.!?]\s|\n)|.{{1,{most}}}"
+    pattern = rf"(?s).{{{least},{most - 2}}}?(?:[.!?]\s|\n)|(?=.{{{most}}}).{{{least},{most - 1}}}?[\s\p{{P}}]|.{{1,{most}}}"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 

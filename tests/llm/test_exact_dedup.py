@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup as x
@@ -59,3 +61,14 @@ def test_chunks_are_the_text(spark):
 
 def test_sql(spark):
     same(spark, "op6", x.op6, x.OP6_SQL)
+
+
+def test_cuts_follow_content_without_sentences(spark):
+    rng = random.Random(9)
+    marks = {"，": "".join(chr(rng.randrange(0x4E00, 0x9000)) if rng.random() > 0.05 else "，" for _ in range(60_000)), ";": "".join(rng.choice("abcdefgh0123") if rng.random() > 0.02 else ";" for _ in range(60_000))}
+    for text in marks.values():
+        df = spark.createDataFrame([(text,), ("x" * 37 + text,), (text[:3000] + "inserted" + text[3000:],)], "text string")
+        a, *others = [r.c for r in df.select(x.chunks(F.col("text")).alias("c")).collect()]
+        assert "".join(a) == text and max(map(len, a)) <= x.MAX and len(a) > 40
+        for b in others:
+            assert len(set(a) & set(b)) > 0.8 * len(a)

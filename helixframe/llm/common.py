@@ -102,16 +102,14 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int, out: str
     don't change between reads; rows is its size.
     """
     buckets = max(64, -(-rows // RANK_ROWS))
-    columns, (bucket, own_, start, n) = df.columns, (free_name(df, x) for x in ("_bucket", "_own", "_start", "_n"))
-    df = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    by = [*keys, bucket]
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    found = [free_name(df, f"_k{i}") for i in range(len(by))]
-    names = [F.col(k).alias(x) for k, x in zip(by, found, strict=True)]
-    starts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(n)).select(*names, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
-    own = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    on = [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(by, found, strict=True)]
-    out_df = df.withColumn(own_, own).join(starts, on, "left")
+    columns, (part, own_, start, n) = df.columns, (free_name(df, x) for x in ("_part", "_own", "_start", "_n"))
+    bucket, names = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"), [f"_k{i}" for i in range(len(keys))]
+    # one struct, never null itself, for the window and the join alike: a null-safe join would shuffle df once more
+    df = df.withColumn(part, F.struct(*(F.col(k).alias(x) for k, x in zip(keys, names, strict=True)), bucket.alias("_bucket")))
+    before = Window.partitionBy(*(f"{part}.{x}" for x in names)).orderBy(f"{part}._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(part).agg(F.count(F.lit(1)).alias(n)).select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    out_df = df.withColumn(own_, own).join(starts, part, "left")
     return out_df.select(*columns, (F.col(start) + F.col(own_)).cast("bigint").alias(out))
 
 

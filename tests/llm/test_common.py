@@ -38,6 +38,20 @@ def test_ranked(spark, monkeypatch):
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == 1000
 
 
+def test_ranks_need_one_shuffle_of_the_rows(spark):
+    df = x.written(spark.range(100).select("id", F.lit("a").alias("k"), F.col("id").cast("string").alias("text")), "r")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = x.ranked(df, ["k"], ["id"], 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.splitlines()
+    window = next(i for i, line in enumerate(lines) if "Window [row_number" in line)
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    assert not any("Exchange" in line for line in lines[join:window])
+
+
 def test_the_shared_folder(spark):
     class Far:
         conf, sparkContext = {}, type("C", (), {"master": "yarn"})

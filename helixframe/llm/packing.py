@@ -35,6 +35,9 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ɏА-яёЁ"
 _MARKS = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 #: Bytes of text that are tokenized together.
 BLOCK = 4 << 20
+#: Runs of letters whose ids a worker holds between blocks, and bytes of a word whose run may be held. Others are encoded
+#: again when they come.
+HELD, HELD_BYTES = 1 << 17, 64
 #: The plan is broadcast up to so many rows; a longer one is joined by shuffling.
 PLAN_ROWS = 65_536
 
@@ -45,34 +48,49 @@ class WordTokenizer:
     Only for a tokenizer whose pieces never cross a blank, a newline, or the border of letters and punctuation, that drops
     blanks and newlines, and marks the last token of each run. A text's ids are then its words' ids in order, and a word of
     letters with punctuation after it has the letters' ids and the punctuation's. Splitting a text into runs is most of the
-    tokenizer's work; Arrow does it here, and finds the distinct runs, so the model gets each run of letters of a block
-    once and as it is. Words of any other form go through the whole tokenizer.
+    tokenizer's work; Arrow does it here, and finds the distinct runs in lower case, so the model gets each run of letters
+    of a block once and as it is, and none that is held from earlier blocks. Words of any other form, and very long ones,
+    go through the whole tokenizer. Which runs are held never changes the ids: of more than HELD the rarest of late go.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.normalizers import Lowercase
         from tokenizers.pre_tokenizers import ByteLevel
 
         tok, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        bare.normalizer, bare.pre_tokenizer = Lowercase(), ByteLevel(add_prefix_space=False, use_regex=False)
+        bare.normalizer, bare.pre_tokenizer = None, ByteLevel(add_prefix_space=False, use_regex=False)
         self.encode, self.encode_runs = tok.encode_batch_fast, bare.encode_batch_fast
         self.last = np.zeros(tok.get_vocab_size(), bool)
         self.last[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known, self.known_ids, self.use = pa.array([], pa.string()), pa.array([], pa.large_list(pa.uint32())), np.zeros(0, "f4")
 
     def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
         """Ids of words through the whole tokenizer, and how many each has."""
         found = [e.ids for i in range(0, len(words), 4096) for e in self.encode(words[i : i + 4096], add_special_tokens=False)]
         return [np.fromiter((i for ids in found for i in ids), "<u4")], list(map(len, found))
 
-    def _runs(self, runs: list[str]) -> tuple[list[np.ndarray], list[int]]:
-        """Ids of runs of letters, each of which has one marked token, its last."""
-        flat, sizes = [], []
-        for i in range(0, len(runs), 8192):
-            ids = np.asarray(self.encode_runs([runs[i : i + 8192]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+    def _runs(self, runs: pa.Array) -> pa.LargeListArray:
+        """Ids of distinct runs of letters in lower case, each of which has one marked token, its last."""
+        found = pc.index_in(runs, value_set=self.known)
+        fresh = np.asarray(found.is_null())
+        new, flat, sizes = runs.filter(pa.array(fresh)), [np.zeros(0, "<u4")], [0]
+        words = new.to_pylist()
+        for i in range(0, len(words), 8192):
+            ids = np.asarray(self.encode_runs([words[i : i + 8192]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
             flat.append(ids)
             sizes += np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0).tolist()
-        return flat, sizes
+        made = pa.LargeListArray.from_arrays(np.cumsum(sizes), np.concatenate(flat))
+        at = np.array(found.fill_null(0), np.int64)
+        at[fresh] = len(self.known) + np.arange(len(new))
+        known, known_ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.known_ids, made])
+        use = np.concatenate([self.use * np.float32(0.9), np.zeros(len(new), "f4")])
+        use[at] += 1
+        out = known_ids.take(pa.array(at))
+        if len(known) > HELD:
+            stay = np.argpartition(use, -HELD)[-HELD:]
+            known, known_ids, use = known.take(pa.array(stay)), known_ids.take(pa.array(stay)), use[stay]
+        self.known, self.known_ids, self.use = known, known_ids, use
+        return out
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of one text."""
@@ -84,19 +102,20 @@ class WordTokenizer:
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
         form = pc.extract_regex(words, f"^(?P<run>[{_LETTERS}]+)(?P<tail>[{_MARKS}]*)$")
-        simple = np.asarray(form.is_valid())
-        runs, tails = (form.field(i).filter(pa.array(simple)).dictionary_encode() for i in (0, 1))
+        simple = np.asarray(form.is_valid()) & (np.asarray(pc.binary_length(words)) <= HELD_BYTES)
+        run, tail = (form.field(i).filter(pa.array(simple)) for i in (0, 1))
+        runs, tails = pc.utf8_lower(run).dictionary_encode(), tail.dictionary_encode()
         rest = words.filter(pa.array(~simple)).to_pylist() + tails.dictionary.to_pylist()
-        flat, sizes = self._runs(runs.dictionary.to_pylist())
+        known = self._runs(runs.dictionary)
         more, others = self._words(rest)
         # each distinct word is two of the parts: its run and tail, or the word itself and nothing
-        size = np.array([*sizes, *others, 0], np.int64)
-        parts = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]), np.concatenate([*flat, *more]))
+        size = np.concatenate([np.diff(np.asarray(known.offsets)), others, [0]]).astype(np.int64)
+        parts = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]), np.concatenate([np.asarray(known.flatten()), *more]))
         two = np.full((len(words), 2), len(size) - 1, np.int64)
         alone = len(rest) - len(tails.dictionary)
         two[simple, 0] = np.asarray(runs.indices)
-        two[simple, 1] = len(sizes) + alone + np.asarray(tails.indices)
-        two[~simple, 0] = len(sizes) + np.arange(alone)
+        two[simple, 1] = len(known) + alone + np.asarray(tails.indices)
+        two[~simple, 0] = len(known) + np.arange(alone)
         length = size[two].sum(1)
         each = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]), parts.take(pa.array(two.ravel())).flatten())
         data = np.asarray(each.take(coded.indices).flatten()).tobytes()

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -33,6 +34,35 @@ def test_blocks(monkeypatch):
     assert words.all_ids(pa.array(["a b", "", "c"])[1:]) == [b"", words.ids("c")]
 
 
+def test_runs_are_encoded_once():
+    whole, words, given = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH), []
+    encode = words.encode_runs
+    words.encode_runs = lambda batch, **how: given.extend(batch[0]) or encode(batch, **how)
+    for text in ("Näher two, THREE", "näher Two three. four NÄHER", "Four two (three"):
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert sorted(given) == ["four", "näher", "three", "two"]
+
+
+@pytest.mark.parametrize(("held", "size"), [(1, 64), (7, 64), (10**6, 9), (7, 0)])
+def test_held_runs_dont_change_ids(monkeypatch, held, size):
+    monkeypatch.setattr(packing, "HELD", held)
+    monkeypatch.setattr(packing, "HELD_BYTES", size)
+    whole, words, rng = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH), random.Random(held)
+    some = ["".join(rng.choice("aeäÉstЁ") for _ in range(rng.randrange(1, 12))) + rng.choice(["", "", ".", "),"]) for _ in range(60)]
+    for _ in range(30):
+        texts = [" ".join(rng.choices(some, k=rng.randrange(12))) for _ in range(4)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in words.all_ids(pa.array(texts))]
+        assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        assert len(words.known) <= held and len(words.known) == len(words.known_ids) == len(words.use)
+
+
+def test_every_letter_that_runs_have():
+    whole, words = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    letters = re.findall(f"[{packing._LETTERS}]", "".join(map(chr, range(0x3000))))
+    texts = [t for x in letters for t in (x, f"a{x}b", f"{x}{x}")]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.all_ids(pa.array(texts))] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_nnls():
     rng = np.random.default_rng(1)
     for _ in range(20):

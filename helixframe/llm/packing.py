@@ -34,7 +34,7 @@ BIN, PARTS = 32, 4
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ɏА-яёЁ"
 _MARKS = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 #: Bytes of text that are tokenized together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Runs of letters whose ids a worker holds between blocks, and bytes of a word whose run may be held. Others are encoded
 #: again when they come.
 HELD, HELD_BYTES = 1 << 17, 64
